@@ -25,7 +25,7 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 POSITION_BITS = 24
 #: metric -> (two-sided, least interquartile range), all in integers
-METRICS = {"word_len": (True, 60), "symbols": (False, 30), "dup_lines": (False, 100), "repeats": (False, 100)}
+METRICS = {"word_len": (True, 60), "symbols": (False, 20), "dup_lines": (False, 170), "repeats": (False, 100)}
 
 
 def _same(x: Column, y: Column, w: Column) -> Column:
@@ -146,7 +146,7 @@ g AS (SELECT 0 AS level, lang AS l, source AS s, metric, bucket, n FROM s UNION
 h AS (SELECT level, l, s, metric, bucket, sum(n) AS n FROM g GROUP BY ALL),
 k AS (SELECT *, sum(n) OVER (PARTITION BY level, l, s, metric ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS up_to, sum(n) OVER (PARTITION BY level, l, s, metric) AS total FROM h),
 q AS (SELECT level, l, s, metric, max(total) AS docs, min(bucket) FILTER (up_to * 4 >= total) AS q1, min(bucket) FILTER (up_to * 4 >= total * 3) AS q3 FROM k GROUP BY ALL),
-f AS (SELECT *, 3 * greatest(q3 - q1, CASE metric WHEN 'word_len' THEN 60 WHEN 'symbols' THEN 30 ELSE 100 END) AS step FROM q),
+f AS (SELECT *, 3 * greatest(q3 - q1, CASE metric WHEN 'word_len' THEN 60 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 170 ELSE 100 END) AS step FROM q),
 b AS (SELECT level, l, s, metric, docs, CASE WHEN metric = 'word_len' THEN q1 - step ELSE -1 END AS low, q3 + step AS high FROM f),
 e AS (SELECT o.l AS tl, o.s AS ts, o.metric, CASE WHEN o.docs >= 50 THEN o.low WHEN la.docs >= 50 THEN la.low ELSE wh.low END AS low, CASE WHEN o.docs >= 50 THEN o.high WHEN la.docs >= 50 THEN la.high ELSE wh.high END AS high
   FROM b o LEFT JOIN b la ON la.level = 1 AND la.metric = o.metric AND la.l IS NOT DISTINCT FROM o.l LEFT JOIN b wh ON wh.level = 2 AND wh.metric = o.metric WHERE o.level = 0),
