@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,11 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; a lost executor only costs a reread."""
+    """``df`` written once to the shared folder; a lost executor only costs a reread.
+    The driver then collects its garbage, as Spark deletes the shuffle files and
+    checkpoints of finished steps only when their handles are collected."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

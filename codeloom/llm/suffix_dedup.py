@@ -467,7 +467,7 @@ def _marked(df: DataFrame, length: int, id_col: str, text_col: str, hot: int) ->
     spark = df.sparkSession
     buckets = width(spark)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shards = checkpointed(_shards(docs).repartition(buckets, "shard"))
+    shards = checkpointed(_shards(docs))
     passed = checkpointed(_digests_and_anchors(shards, length, buckets))
 
     digests = passed.filter("bucket = -1").select("shard", "doc", "id", F.col("a").alias("digest"))
@@ -476,8 +476,10 @@ def _marked(df: DataFrame, length: int, id_col: str, text_col: str, hot: int) ->
     answers = passed.filter("bucket >= 0").select("shard", "bucket", "a", "b").groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, hot), "shard long, bucket int, wanted binary, hot binary")
     per_shard = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "wanted", "hot")).alias("answers"))
     copies = checkpointed(copies)
+    answers = passed = digests = firsts = None
     asked = shards.join(copies, "shard", "left").join(per_shard, "shard", "left")
     contexts = checkpointed(_contexts(asked, length, buckets))
+    asked = per_shard = None
 
     merged = contexts.filter("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, length), "shard long, bucket int, least binary, masks binary")
     back = merged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "least", "masks")).alias("answers"))
