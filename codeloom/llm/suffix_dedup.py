@@ -224,8 +224,8 @@ def first_documents(contexts: np.ndarray, lens: np.ndarray, least: np.ndarray, l
     return owner[order[earlier]], place[order[earlier]], first[earlier]
 
 
-def _z(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
+def _z(x: np.ndarray | bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else x.tobytes())
 
 
 def _unz(x: bytes, dtype: str) -> np.ndarray:
@@ -233,7 +233,7 @@ def _unz(x: bytes, dtype: str) -> np.ndarray:
 
 
 def _shards(docs: DataFrame) -> DataFrame:
-    """(shard, ids, ends, body): compressed documents in shards of about SHARD_BYTES."""
+    """(shard, ids, digests, ends, body): compressed documents in shards of about SHARD_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
@@ -242,7 +242,7 @@ def _shards(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + no], pa.int64()), pa.array([_z(np.array(ids, dtype="<i8"))]), pa.array([_z(np.cumsum([len(x) for x in held], dtype="<i8"))]), pa.array([_z(b"".join(held))])], names=["shard", "ids", "ends", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + no], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[hashlib.sha256(x).digest() for x in held]], pa.list_(pa.binary())), pa.array([_z(np.cumsum([len(x) for x in held], dtype="<i8"))]), pa.array([_z(b"".join(held), 4)])], names=["shard", "ids", "digests", "ends", "body"])
 
         for batch in batches:
             for keys, texts in rows_of(batch):
@@ -257,11 +257,11 @@ def _shards(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("id", "text").mapInArrow(run, "shard long, ids binary, ends binary, body binary")
+    return docs.select("id", "text").mapInArrow(run, "shard long, ids array<long>, digests array<binary>, ends binary, body binary")
 
 
 def _documents(row: dict) -> tuple[np.ndarray, list[bytes]]:
-    ids, ends, body = _unz(row["ids"], "<i8"), _unz(row["ends"], "<i8"), zstandard.ZstdDecompressor().decompress(row["body"])
+    ids, ends, body = np.array(row["ids"], dtype=np.int64), _unz(row["ends"], "<i8"), zstandard.ZstdDecompressor().decompress(row["body"])
     return ids, [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
@@ -271,17 +271,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(c)[i].as_py() for c, name in enumerate(batch.schema.names)}
 
 
-def _digests_and_anchors(shards: DataFrame, length: int, buckets: int) -> DataFrame:
-    """From one pass: bucket -1 with a digest for each document, and for each bucket the
-    shard's different anchor hashes with in how many different texts they are."""
+def _anchors(shards: DataFrame, length: int, buckets: int) -> DataFrame:
+    """For each bucket the shard's different anchor hashes, with in how many different texts they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, docs = _documents(row)
-            m = len(docs)
-            digests = [hashlib.sha256(d).digest() for d in docs]
-            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array([-1] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(ids), pa.array(digests, pa.binary()), pa.array([len(d) for d in docs], pa.int64()), pa.array([None] * m, pa.binary())], names=["shard", "bucket", "doc", "id", "a", "n", "b"])
-            first = {d: i for i, d in reversed(list(enumerate(digests)))}
+            _, docs = _documents(row)
+            first = {d: i for i, d in reversed(list(enumerate(row["digests"])))}
             texts = [docs[i] for i in sorted(first.values())]
             doc, _, _, _, h = anchor_runs(texts, length)
             bucket = _bucket(h, buckets)
@@ -297,9 +293,9 @@ def _digests_and_anchors(shards: DataFrame, length: int, buckets: int) -> DataFr
             ends = np.r_[cuts[1:], len(bucket)].astype(int) if len(bucket) else []
             m = len(cuts)
             deltas = [_z(np.diff(short[a:b], prepend=np.uint32(0)).astype("<u4").reshape(-1, 1).view("u1").T.copy()) for a, b in zip(cuts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array(bucket[cuts] if m else [], pa.int32()), pa.array([None] * m, pa.int32()), pa.array([None] * m, pa.int64()), pa.array(deltas, pa.binary()), pa.array([None] * m, pa.int64()), pa.array([_z(times[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["shard", "bucket", "doc", "id", "a", "n", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array(bucket[cuts] if m else [], pa.int32()), pa.array(deltas, pa.binary()), pa.array([_z(times[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["shard", "bucket", "hashes", "times"])
 
-    return shards.mapInArrow(run, "shard long, bucket int, doc int, id long, a binary, n long, b binary")
+    return shards.select("shard", "ids", "digests", "ends", "body").mapInArrow(run, "shard long, bucket int, hashes binary, times binary")
 
 
 def _hashes(x: bytes) -> np.ndarray:
@@ -309,8 +305,8 @@ def _hashes(x: bytes) -> np.ndarray:
 
 def _repeated(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     """For each shard of a bucket: its hashes in two texts or more, and which are hot."""
-    lists = [_hashes(x) for x in pdf["a"]]
-    times = [_unz(x, "<u2").astype(np.int64) for x in pdf["b"]]
+    lists = [_hashes(x) for x in pdf["hashes"]]
+    times = [_unz(x, "<u2").astype(np.int64) for x in pdf["times"]]
     values, number = np.unique(np.concatenate(lists), return_inverse=True)
     total = np.bincount(number, weights=np.concatenate(times), minlength=len(values))
     out, at = [], 0
@@ -322,74 +318,80 @@ def _repeated(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     return pd.DataFrame({"shard": [o[0] for o in out], "bucket": pdf["bucket"].to_numpy(), "wanted": [o[1] for o in out], "hot": [o[2] for o in out]})
 
 
-def _contexts(shards: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Bucket -1: where the shard's repeated anchors are; else the different contexts."""
+def _cut(row: dict, length: int, buckets: int) -> tuple:
+    """(ids, documents, (document, first string, last string, bucket, number) of each
+    occurrence, (bucket, sorted different contexts, their least ids)) of a shard. The
+    numbers count a bucket's contexts, and are the same each time."""
     span = length - GRAM + 1
     wide = length + span - 1
+    ids, docs = _documents(row)
+    gone = set(row["copies"] or [])
+    kept = [i for i in range(len(docs)) if i not in gone]
+    doc, s, e, p, h = anchor_runs([docs[i] for i in kept], length)
+    bucket, short = _bucket(h, buckets), h.astype(np.uint32)
+    wanted, hot = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    for answer in row["wanted"] or []:
+        values, flags = _unz(answer["wanted"], "<u4"), _unz(answer["hot"], "u1")
+        at = by[cuts[answer["bucket"]] : cuts[answer["bucket"] + 1]]
+        if len(values) and len(at):
+            k = np.minimum(np.searchsorted(values, short[at]), len(values) - 1)
+            hit = values[k] == short[at]
+            wanted[at[hit]] = True
+            hot[at[hit]] = flags[k[hit]] > 0
+    sel = np.flatnonzero(wanted)
+    doc, s, e, p, h, hot = doc[sel], s[sel], e[sel], p[sel], h[sel], hot[sel]
+    if hot.any():  # a string each
+        times = np.where(hot, e - s + 1, 1)
+        again = np.repeat(np.arange(len(s)), times)
+        step = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+        doc, p, h, was_hot = doc[again], p[again], h[again], hot[again]
+        s, e = np.where(was_hot, s[again] + step, s[again]), np.where(was_hot, s[again] + step, e[again])
+        hot = was_hot
+    lens = np.array([len(docs[i]) for i in kept], dtype=np.int64)
+    base = np.cumsum(lens) - lens
+    flat = np.frombuffer(b"".join([docs[i] for i in kept]) + bytes(wide), dtype=np.uint8)
+    size = (e - s + length).astype(np.int64)
+    keys = np.zeros((len(s), wide + 4), dtype=np.uint8)
+    keys[:, 0], keys[:, 1] = size >> 8, size & 255
+    keys[:, 2], keys[:, 3] = (p - s) >> 8, (p - s) & 255
+    for a in range(0, len(s), 1 << 16):
+        z = slice(a, a + (1 << 16))
+        grid = (base[doc[z]] + s[z])[:, None] + np.arange(wide)[None, :]
+        keys[z, 4:] = np.where(np.arange(wide)[None, :] < size[z, None], flat[grid], 0)
+    if hot.any():
+        own = np.array([int.from_bytes(hashlib.blake2b(k.tobytes(), digest_size=8).digest(), "little") for k in keys[hot]], dtype=np.uint64)
+        h = h.copy()
+        h[hot] = own
+    bucket = _bucket(h, buckets)
+    texts = keys.reshape(-1).view(f"S{wide + 4}") if len(s) else np.zeros(0, dtype=f"S{wide + 4}")
+    no = np.zeros(len(s), dtype=np.int64)
+    owner = ids[np.array(kept, dtype=np.int64)][doc] if len(s) else np.zeros(0, dtype=np.int64)
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    sent: list[tuple] = []
+    for k in range(buckets):
+        at = by[cuts[k] : cuts[k + 1]]
+        if len(at):
+            values, number = np.unique(texts[at], return_inverse=True)
+            least = np.full(len(values), NULL_ID, dtype=np.int64)
+            np.minimum.at(least, number, owner[at])
+            no[at] = number
+            sent.append((k, values, least))
+    return ids, docs, (np.array(kept, dtype=np.int64)[doc] if len(s) else doc, s, e, bucket, no), sent
+
+
+def _contexts(shards: DataFrame, length: int, buckets: int) -> DataFrame:
+    """For each bucket and shard its different contexts, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, docs = _documents(row)
-            gone = set(row["copies"] or [])
-            kept = [i for i in range(len(docs)) if i not in gone]
-            doc, s, e, p, h = anchor_runs([docs[i] for i in kept], length)
-            bucket, short = _bucket(h, buckets), h.astype(np.uint32)
-            wanted, hot = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for answer in row["answers"] or []:
-                values, flags = _unz(answer["wanted"], "<u4"), _unz(answer["hot"], "u1")
-                at = by[cuts[answer["bucket"]] : cuts[answer["bucket"] + 1]]
-                if len(values) and len(at):
-                    k = np.minimum(np.searchsorted(values, short[at]), len(values) - 1)
-                    hit = values[k] == short[at]
-                    wanted[at[hit]] = True
-                    hot[at[hit]] = flags[k[hit]] > 0
-            sel = np.flatnonzero(wanted)
-            doc, s, e, p, h, hot = doc[sel], s[sel], e[sel], p[sel], h[sel], hot[sel]
-            if hot.any():  # a string each
-                times = np.where(hot, e - s + 1, 1)
-                again = np.repeat(np.arange(len(s)), times)
-                step = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                doc, p, h, was_hot = doc[again], p[again], h[again], hot[again]
-                s, e = np.where(was_hot, s[again] + step, s[again]), np.where(was_hot, s[again] + step, e[again])
-                hot = was_hot
-            lens = np.array([len(docs[i]) for i in kept], dtype=np.int64)
-            base = np.cumsum(lens) - lens
-            flat = np.frombuffer(b"".join([docs[i] for i in kept]) + bytes(wide), dtype=np.uint8)
-            size = (e - s + length).astype(np.int64)
-            keys = np.zeros((len(s), wide + 4), dtype=np.uint8)
-            keys[:, 0], keys[:, 1] = size >> 8, size & 255
-            keys[:, 2], keys[:, 3] = (p - s) >> 8, (p - s) & 255
-            for a in range(0, len(s), 1 << 16):
-                z = slice(a, a + (1 << 16))
-                grid = (base[doc[z]] + s[z])[:, None] + np.arange(wide)[None, :]
-                keys[z, 4:] = np.where(np.arange(wide)[None, :] < size[z, None], flat[grid], 0)
-            if hot.any():
-                own = np.array([int.from_bytes(hashlib.blake2b(k.tobytes(), digest_size=8).digest(), "little") for k in keys[hot]], dtype=np.uint64)
-                h = h.copy()
-                h[hot] = own
-            bucket = _bucket(h, buckets)
-            texts = keys.reshape(-1).view(f"S{wide + 4}") if len(s) else np.zeros(0, dtype=f"S{wide + 4}")
-            no = np.zeros(len(s), dtype=np.int64)
-            owner = ids[np.array(kept, dtype=np.int64)][doc] if len(s) else np.zeros(0, dtype=np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            sent: list[tuple] = []
-            for k in range(buckets):
-                at = by[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    values, number = np.unique(texts[at], return_inverse=True)
-                    least = np.full(len(values), NULL_ID, dtype=np.int64)
-                    np.minimum.at(least, number, owner[at])
-                    no[at] = number
-                    sent.append((row["shard"], k, _z(values.tobytes()), _z(least)))
-            places = np.stack([np.array(kept, dtype=np.int64)[doc], s, e, bucket, no]).astype("<i4") if len(s) else np.zeros((5, 0), dtype="<i4")
-            sent.append((row["shard"], -1, _z(places), b""))
-            c = list(zip(*sent, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], names=["shard", "bucket", "data", "least"])
-
-    return shards.select("shard", "ids", "ends", "body", "copies", "answers").mapInArrow(run, "shard long, bucket int, data binary, least binary")
+            sent = _cut(row, length, buckets)[3]
+            m = len(sent)
+            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array([x[0] for x in sent], pa.int32()), pa.array([_z(x[1].tobytes()) for x in sent], pa.binary()), pa.array([_z(x[2]) for x in sent], pa.binary())], names=["shard", "bucket", "data", "least"])
+
+    return shards.mapInArrow(run, "shard long, bucket int, data binary, least binary")
 
 
 def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -427,15 +429,14 @@ def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"shard": pdf["shard"], "bucket": pdf["bucket"], "least": [_z(least[w]) for w in where], "masks": [_z(packed[w]) for w in where]})
 
 
-def _removed(row: dict, length: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def _removed(row: dict, length: int, buckets: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(document, id, bytes, which of them are removed) for each of a shard's documents."""
     span = length - GRAM + 1
-    ids, docs = _documents(row)
+    ids, docs, (doc, s, e, bucket, no), _ = _cut(row, length, buckets)
     lens = np.array([len(d) for d in docs], dtype=np.int64)
     base = np.cumsum(lens) - lens
     edge = np.zeros(int(lens.sum()) + 1, dtype=np.int32)
-    if row["places"]:
-        doc, s, e, bucket, no = _unz(row["places"], "<i4").reshape(5, -1).astype(np.int64)
+    if len(s):
         by = np.argsort(bucket, kind="stable")
         sorted_buckets = bucket[by]
         for answer in row["answers"] or []:
@@ -462,29 +463,23 @@ def _removed(row: dict, length: int) -> Iterator[tuple[int, int, bytes, np.ndarr
         yield i, int(ids[i]), d, gone[base[i] : base[i] + lens[i]]
 
 
-def _marked(df: DataFrame, length: int, id_col: str, text_col: str, hot: int) -> DataFrame:
-    """Shards (shard, ids, ends, body, copies, places, answers) with all that says what goes."""
-    spark = df.sparkSession
-    buckets = width(spark)
+def _marked(df: DataFrame, length: int, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, int]:
+    """Shards (shard, ids, digests, ends, body, copies, wanted, answers) with all that says what goes,
+    and into how many buckets anchors are dealt."""
+    buckets = width(df.sparkSession)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     shards = checkpointed(_shards(docs))
-    passed = checkpointed(_digests_and_anchors(shards, length, buckets))
 
-    digests = passed.filter("bucket = -1").select("shard", "doc", "id", F.col("a").alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min(F.struct("id", "shard", "doc")).alias("f"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", F.col("f.id").alias("first"))
+    digests = shards.select("shard", "ids", F.posexplode("digests").alias("doc", "digest")).select("shard", "doc", F.get("ids", F.col("doc")).alias("id"), "digest")
+    firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", "first")
     copies = digests.join(firsts, "digest").filter(F.col("id") > F.col("first")).groupBy("shard").agg(F.collect_list("doc").alias("copies"))
-    answers = passed.filter("bucket >= 0").select("shard", "bucket", "a", "b").groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, hot), "shard long, bucket int, wanted binary, hot binary")
-    per_shard = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "wanted", "hot")).alias("answers"))
-    copies = checkpointed(copies)
-    answers = passed = digests = firsts = None
-    asked = shards.join(copies, "shard", "left").join(per_shard, "shard", "left")
-    contexts = checkpointed(_contexts(asked, length, buckets))
-    asked = per_shard = None
-
-    merged = contexts.filter("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, length), "shard long, bucket int, least binary, masks binary")
+    repeated = _anchors(shards, length, buckets).groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, hot), "shard long, bucket int, wanted binary, hot binary")
+    wanted = repeated.groupBy("shard").agg(F.collect_list(F.struct("bucket", "wanted", "hot")).alias("wanted"))
+    known = checkpointed(copies.join(wanted, "shard", "full"))
+    asked = shards.join(known, "shard", "left")
+    merged = _contexts(asked, length, buckets).groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, length), "shard long, bucket int, least binary, masks binary")
     back = merged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "least", "masks")).alias("answers"))
-    places = contexts.filter("bucket = -1").select("shard", F.col("data").alias("places"))
-    return shards.join(copies, "shard", "left").join(places, "shard", "left").join(back, "shard", "left").select("shard", "ids", "ends", "body", "copies", "places", "answers")
+    return asked.join(back, "shard", "left"), buckets
 
 
 def _runs(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -495,31 +490,35 @@ def _runs(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeat_digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
+    marked, buckets = _marked(df, length, id_col, text_col, hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             out = []
-            for _, key, d, gone in _removed(row, length):
+            for _, key, d, gone in _removed(row, length, buckets):
                 begins, _ = _runs(gone)
                 rest = np.frombuffer(d, dtype=np.uint8)[~gone].tobytes() if len(begins) else d
                 out.append((None if key == NULL_ID else key, len(d), len(d) - len(rest), len(begins), hashlib.sha256(rest).hexdigest()))
             c = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4])], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _marked(df, length, id_col, text_col, hot).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return marked.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (id, text, n_bytes, n_removed, starts, ends): what is left of each text, and the
     removed spans in bytes. Characters that a span cuts through go with it."""
 
+    marked, buckets = _marked(df, length, id_col, text_col, hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             out = []
-            for _, key, d, gone in _removed(row, length):
+            for _, key, d, gone in _removed(row, length, buckets):
                 begins, ends = _runs(gone)
                 parts = [d[a:b].decode("utf-8", "ignore") for a, b in zip([0, *ends], [*begins, len(d)], strict=True)]
                 out.append((None if key == NULL_ID else key, "".join(parts), len(d), int(gone.sum()), begins.tolist(), ends.tolist()))
             c = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64()))], names=["id", "text", "n_bytes", "n_removed", "starts", "ends"])
 
-    return _marked(df, length, id_col, text_col, hot).mapInArrow(run, "id long, text string, n_bytes long, n_removed long, starts array<long>, ends array<long>").withColumnRenamed("id", id_col)
+    return marked.mapInArrow(run, "id long, text string, n_bytes long, n_removed long, starts array<long>, ends array<long>").withColumnRenamed("id", id_col)
