@@ -47,8 +47,8 @@ from codeloom.llm._util import NULL_ID, checkpointed, rows_of, width
 GRAM = 24
 SHARD_BYTES = 8 << 20
 PIECE = 1 << 19  # bytes hashed at a time
-HOT = 20_000  # occurrences from which an anchor's strings are sent one by one
-BATCH = 1 << 15  # contexts in one suffix array
+HOT = 8_192  # occurrences from which an anchor's strings are sent one by one
+BATCH = 1 << 13  # contexts in one suffix array
 POWER = 0x9E3779B97F4A7C15
 SYMBOLS = 7  # of 9 bits in a first rank
 
@@ -211,9 +211,9 @@ def first_documents(contexts: np.ndarray, lens: np.ndarray, least: np.ndarray, l
     used = np.arange(contexts.shape[1])[None, :] < lens[:, None]
     symbols = contexts[used].astype(np.int16) + 1
     starts = np.cumsum(lens) - lens
-    owner = np.repeat(np.arange(len(lens)), lens)
-    place = np.arange(len(symbols)) - starts[owner]
-    room = lens[owner] - place
+    owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    place = (np.arange(len(symbols)) - starts[owner]).astype(np.int32)
+    room = (lens[owner] - place).astype(np.int32)
     order = suffix_array(symbols, room, int(lens.max(initial=0)))
     lcp = kasai(symbols, room, starts, order)
     head = np.flatnonzero(lcp < length)
