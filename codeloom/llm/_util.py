@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
+from operator import not_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,19 +68,33 @@ def rows_of(batch: pa.RecordBatch, max_chars: int = 4 << 20) -> Iterator[tuple[l
 
 
 class WordCache(dict):
-    """word -> encoded form; ``encode`` gets a list of new words. When ``limit``
-    entries are held the older half goes, so memory stays bounded."""
+    """word -> encoded form; ``encode`` gets a list of new words. Two generations of
+    at most ``limit`` entries: a full one becomes the old one, from which words that
+    are used again come back, so memory stays bounded and frequent words stay."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 600_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if not new:
-            return
-        if len(self) + len(new) > self.limit:
-            keep = set(words)
-            for w in [w for w in list(self)[: max(len(self) // 2, len(self) + len(new) - self.limit)] if w not in keep]:
-                del self[w]
-        self.update(zip(new, self.encode(new), strict=True))
+        self.encode, self.limit, self.old = encode, limit, {}
+
+    def __missing__(self, word: str):
+        found = self[word] = self.old[word]
+        return found
+
+    def learn(self, words: Iterable[str]) -> None:
+        """After this all of ``words`` are held."""
+        words = dict.fromkeys(words)
+        if len(self) + len(words) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        new = [w for w in words if w not in self and w not in self.old]
+        if new:
+            self.update(zip(new, self.encode(new), strict=True))
+
+    def lookup(self, words: list[str]) -> list:
+        got = list(map(self.get, words))
+        missing = list(compress(range(len(got)), map(not_, got)))
+        if missing:
+            self.learn([words[i] for i in missing])
+            for i in missing:
+                got[i] = self[words[i]]
+        return got

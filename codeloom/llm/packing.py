@@ -199,10 +199,10 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            for keys, texts in rows_of(batch):
+            for keys, texts in rows_of(batch, 1 << 20):
                 out: list[tuple] = []
-                for key, text in zip(keys, texts, strict=True):
-                    ids = enc.encode(text) + end
+                for key, found in zip(keys, enc.encode_all(texts), strict=True):
+                    ids = found + end
                     n = len(ids) // 4
                     start, piece = 0, 0
                     while start < n:

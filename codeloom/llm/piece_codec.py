@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ class PieceCodec:
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("pieces that go over a word's end are not supported")
         self.n = n
+        self.name = list(map(str, range(n)))
         # Symbols: ids of pieces, then characters that are only parts of pieces, then one for all other characters.
         symbols = dict(ids)
         for ch in sorted({c for p in ids for c in p} - ids.keys()):
@@ -74,7 +76,8 @@ class PieceCodec:
         solo = [c for c in "\n\t\r" if all(c not in p for p in ids)]  # in no piece: a boundary on both sides
         cls = re.escape("".join(solo))
         self.words = re.compile(f"[{cls}]|{SPACE}*[^{SPACE}{cls}]+|{SPACE}+" if solo else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache = WordCache(self._describe)
+        self.cache = WordCache(self._listed, 300_000)  # word -> its ids; strings only, which cost the garbage collector nothing
+        self.texts = WordCache(self._spelled, 300_000)  # ids of a word -> text
 
     def _index(self, keys: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> None:
         """An open-addressed table of pairs, at most half full."""
@@ -113,8 +116,9 @@ class PieceCodec:
             on = on[(got != keys[on]) & (got != -1)]
         return rank, piece
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word; words are as in the escaped text (spaces are U+2581)."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; words are as in the escaped text
+        (spaces are U+2581)."""
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         sym = self.of_point[flat]
@@ -153,15 +157,17 @@ class PieceCodec:
             stay = np.ones(len(sym), dtype=bool)
             stay[take + 1] = False
             sym, point, word, rank, piece, stale = (x[stay] for x in (sym, point, word, rank, piece, stale))
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(words)
-        for w, s, p in done:
-            cuts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            for a, b in zip(cuts, np.r_[cuts[1:], len(w)], strict=True):
-                ids = s[a:b]
-                if (ids >= self.n).any():
-                    ids = np.concatenate([[i] if i < self.n else self.byte_id[list(chr(c).encode("utf-8", "replace"))] for i, c in zip(ids, p[a:b], strict=True)])
-                out[w[a]] = ids.astype(np.int64)
-        return out
+        w, s, p = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, dtype=np.int64),) * 3
+        by = np.argsort(w, kind="stable")
+        w, s, p = w[by], s[by].astype(np.int64), p[by]
+        raw = np.flatnonzero(s >= self.n)
+        if len(raw):  # characters that are no piece end as bytes
+            spelled = [self.byte_id[list(chr(c).encode("utf-8", "replace"))] for c in p[raw].tolist()]
+            times = np.ones(len(s), dtype=np.int64)
+            times[raw] = list(map(len, spelled))
+            w, s = np.repeat(w, times), np.repeat(s, times)
+            s[s >= self.n] = np.concatenate(spelled)
+        return s, np.bincount(w, minlength=len(words))
 
     def _choose(self, sym, word, rank, piece, at, owner) -> np.ndarray:
         """Places to merge now: each word's leftmost best pair, and the later ones of
@@ -190,16 +196,31 @@ class PieceCodec:
         bad[owner[~same]] = True
         return at[first | (apart & ~bad[owner])]
 
-    def _describe(self, words: list[str]) -> list[tuple[int, str, str]]:
-        """For each word: number of ids, decimal ids joined by commas, decoded text."""
-        return [(len(ids), ",".join(map(str, ids.tolist())), self.decode_part(ids)) for ids in self.merge(words)]
+    def _listed(self, words: list[str]) -> list[str]:
+        """Each word's decimal ids joined by commas; their texts are kept as well."""
+        ids, counts = self.merge(words)
+        listed = ids.tolist()
+        names, parts = list(map(self.name.__getitem__, listed)), list(map(self.surface.__getitem__, listed))
+        out, texts, a = [], [], 0
+        for b in np.cumsum(counts).tolist():
+            out.append(",".join(names[a:b]))
+            try:
+                texts.append(b"".join(parts[a:b]).decode())
+            except UnicodeDecodeError:
+                texts.append(self._mend(ids[a:b]))
+            a = b
+        self.texts.update(zip(out, texts, strict=True))
+        return out
+
+    def _spelled(self, listed: list[str]) -> list[str]:
+        return [self.decode_part(np.array(x.split(","), dtype=np.int64)) for x in listed]
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str | None) -> np.ndarray:
         words = self.split(text or "")
-        return np.concatenate(self.merge(words)) if words else np.zeros(0, dtype=np.int64)
+        return self.merge(words)[0] if words else np.zeros(0, dtype=np.int64)
 
     def decode_part(self, ids: np.ndarray) -> str:
         out = b"".join([self.surface[i] for i in ids])
@@ -231,16 +252,17 @@ class PieceCodec:
         text = self.decode_part(np.asarray(ids, dtype=np.int64))
         return text[1:] if text.startswith(" ") else text
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        words = self.split(text or "")
-        try:
-            parts = list(map(self.cache.__getitem__, words))
-        except KeyError:
-            self.cache.learn(words)
-            parts = list(map(self.cache.__getitem__, words))
-        n = sum(p[0] for p in parts)
-        joined, back = ",".join([p[1] for p in parts]), "".join([p[2] for p in parts])
-        return n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back[1:].encode()).hexdigest()
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, digest of the ids, digest of the decoded text) of each text."""
+        split = [self.split(t or "") for t in texts]
+        ids = self.cache.lookup(list(chain.from_iterable(split)))
+        back = self.texts.lookup(ids)
+        a = 0
+        for words in split:
+            b = a + len(words)
+            joined, text = ",".join(ids[a:b]).encode(), "".join(back[a:b])[1:].encode()
+            a = b
+            yield joined.count(b",") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -272,9 +294,8 @@ def piece_digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for keys, texts in rows_of(batch):
-                c.cache.learn([w for t in texts for w in set(c.split(t or ""))])
-                n, ids, back = zip(*map(c.digest, texts), strict=True)
+            for keys, texts in rows_of(batch, 1 << 20):
+                n, ids, back = zip(*c.digests(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text").mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -124,10 +124,9 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int = 1
             return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int32()), pa.array([segment], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_segment(keys, held, percentile)], pa.binary())], names=["file_no", "segment", "n_ids", "payload"])
 
         for batch in batches:
-            for some, texts in rows_of(batch):
-                enc.cache.learn([])
-                for key, text in zip(some, texts, strict=True):
-                    ids = enc.encode(text) + end
+            for some, texts in rows_of(batch, 1 << 20):
+                for key, found in zip(some, enc.encode_all(texts), strict=True):
+                    ids = found + end
                     if held and size + len(ids) // 4 > segment_ids:
                         yield flush()
                         segment, keys, held, size = segment + 1, [], [], 0

@@ -8,7 +8,10 @@ disagree whether they are spaces, are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -16,6 +19,8 @@ from codeloom.llm._util import WordCache
 
 _PIECES = re.compile(r"\s*\S+|\s+")
 _UNSURE = re.compile("[\x1c-\x1f]")
+#: Words after a space, of characters that normalisation leaves alone but for lower case of the same length.
+_PLAIN = re.compile("[ \t\n\r]+[!-~À-ÖØ-öø-ÿ]{1,64}")
 LONG_WORD = 4096
 
 
@@ -23,17 +28,46 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.lib.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.removesuffix("</w>"))  # byte-level: a character for each byte
+        self.drops_spaces = self.lib.normalizer is not None
         self.cache = WordCache(self._fresh)
 
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+
     def _fresh(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        """New words go through the library many in a row, and are told apart by how many
+        bytes their tokens stand for; where that is not certain, one by one."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
+        rest = sorted(set(range(len(words))).difference(plain))
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = np.array(self.lib.encode_batch_fast(["".join([words[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len((words[i].lstrip() if self.drops_spaces else words[i]).encode()) for i in some])
+            stands = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(stands, ends) + 1
+            if cuts[-1] != len(ids) or (stands[cuts - 1] != ends).any():
+                rest += some
+                continue
+            raw, low = ids.tobytes(), 0
+            for i, high in zip(some, (4 * cuts).tolist(), strict=True):
+                out[i] = raw[low:high]
+                low = high
+        for i, found in zip(rest, self._one_by_one([words[i] for i in rest]), strict=True):
+            out[i] = found
+        return out
 
     def whole(self, text: str) -> bytes:
-        return self._fresh([text])[0]
+        return self._one_by_one([text])[0]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -43,11 +77,21 @@ class Encoder:
         words = _PIECES.findall(text)
         if len(words) < 64 and len(text) > LONG_WORD * 8:
             return self.whole(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            self.cache.learn(words)
-            return b"".join(map(self.cache.__getitem__, words))
+        return b"".join(self.cache.lookup(words))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """As ``encode`` for each text, with the new words of all of them learned at once."""
+        split = [_PIECES.findall(t) if t and not _UNSURE.search(t) else None for t in texts]
+        split = [w if w and (len(w) >= 64 or len(t) <= LONG_WORD * 8) else None for w, t in zip(split, texts, strict=True)]
+        ids = self.cache.lookup(list(chain.from_iterable(w for w in split if w)))
+        out, a = [], 0
+        for words, text in zip(split, texts, strict=True):
+            if words is None:
+                out.append(self.encode(text))
+            else:
+                out.append(b"".join(ids[a : a + len(words)]))
+                a += len(words)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
