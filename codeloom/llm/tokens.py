@@ -21,6 +21,8 @@ _PIECES = re.compile(r"\s*\S+|\s+")
 _UNSURE = re.compile("[\x1c-\x1f]")
 #: Words after a space, of characters that normalisation leaves alone but for lower case of the same length.
 _PLAIN = re.compile("[ \t\n\r]+[!-~À-ÖØ-öø-ÿ]{1,64}")
+_PLAIN_BARE = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}")
+_LATIN = re.compile("[\x00-\xff]*")
 LONG_WORD = 4096
 
 
@@ -47,12 +49,14 @@ class Encoder:
         """New words go through the library many in a row, and are told apart by how many
         bytes their tokens stand for; where that is not certain, one by one."""
         out: list[bytes] = [b""] * len(words)
-        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
+        match = (_PLAIN_BARE if self.drops_spaces else _PLAIN).fullmatch
+        between = " " if self.drops_spaces else ""
+        plain = [i for i, w in enumerate(words) if match(w)]
         rest = sorted(set(range(len(words))).difference(plain))
         for a in range(0, len(plain), 2000):
             some = plain[a : a + 2000]
-            ids = np.array(self.lib.encode_batch_fast(["".join([words[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len((words[i].lstrip() if self.drops_spaces else words[i]).encode()) for i in some])
+            ids = np.array(self.lib.encode_batch_fast([between.join([words[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(words[i].encode()) for i in some])
             stands = np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(stands, ends) + 1
             if cuts[-1] != len(ids) or (stands[cuts - 1] != ends).any():
@@ -69,25 +73,27 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self._one_by_one([text])[0]
 
+    def split(self, text: str | None) -> list[str] | None:
+        """The words that make up the text's ids; None: to be encoded whole."""
+        if not text or _UNSURE.search(text):
+            return None
+        if self.drops_spaces:  # and lower-cases: in Latin-1 a character at a time
+            words = text.lower().split() if _LATIN.fullmatch(text) else text.split()
+        else:
+            words = _PIECES.findall(text)
+        return words if len(words) >= 64 or len(text) <= LONG_WORD * 8 else None
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _UNSURE.search(text):
-            return self.whole(text)
-        words = _PIECES.findall(text)
-        if len(words) < 64 and len(text) > LONG_WORD * 8:
-            return self.whole(text)
-        return b"".join(self.cache.lookup(words))
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """As ``encode`` for each text, with the new words of all of them learned at once."""
-        split = [_PIECES.findall(t) if t and not _UNSURE.search(t) else None for t in texts]
-        split = [w if w and (len(w) >= 64 or len(t) <= LONG_WORD * 8) else None for w, t in zip(split, texts, strict=True)]
+        """The ids of each text, with the new words of all of them learned at once."""
+        split = list(map(self.split, texts))
         ids = self.cache.lookup(list(chain.from_iterable(w for w in split if w)))
         out, a = [], 0
         for words, text in zip(split, texts, strict=True):
             if words is None:
-                out.append(self.encode(text))
+                out.append(self.whole(text) if text else b"")
             else:
                 out.append(b"".join(ids[a : a + len(words)]))
                 a += len(words)
