@@ -105,7 +105,7 @@ def thresholds(sketches: DataFrame, k: int = 3, min_docs: int = 50) -> DataFrame
     step = k * F.greatest(F.col("q3") - F.col("q1"), least)
     two_sided = F.col("metric").isin([m for m, (two, _) in METRICS.items() if two])
     fences = quart.select("level", "l", "s", "metric", "docs", F.when(two_sided, F.col("q1") - step).otherwise(F.lit(-1)).alias("low"), (F.col("q3") + step).alias("high"))
-    wide = fences.groupBy("level", "l", "s").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")])
+    wide = checkpointed(fences.groupBy("level", "l", "s").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]))  # three levels are taken from it
     cols = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
     own, lang, whole = (wide.filter(F.col("level") == i) for i in range(3))
     lang = lang.select(F.col("l").alias("ll"), F.col("docs").alias("lang_docs"), *[F.col(c).alias(f"l_{c}") for c in cols])
