@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from itertools import compress
 from operator import not_
 
@@ -67,6 +69,22 @@ def rows_of(batch: pa.RecordBatch, max_chars: int = 4 << 20) -> Iterator[tuple[l
         yield tuple(batch.column(c).slice(start).to_pylist() for c in range(batch.num_columns))
 
 
+_caches: list[WordCache] = []
+
+
+def tidy(keep_caches: bool = False) -> None:
+    """Python workers are used again for other steps: gives what they hold back to the
+    system. Word caches only go when a step begins that does not use them."""
+    if not keep_caches:
+        for cache in _caches:
+            cache.clear()
+            cache.old = {}
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordCache(dict):
     """word -> encoded form; ``encode`` gets a list of new words. Two generations of
     at most ``limit`` entries: a full one becomes the old one, from which words that
@@ -75,6 +93,7 @@ class WordCache(dict):
     def __init__(self, encode: Callable[[list[str]], list], limit: int = 600_000):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
+        _caches.append(self)
 
     def __missing__(self, word: str):
         found = self[word] = self.old[word]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._util import rows_of
+from codeloom.llm._util import rows_of, tidy
 
 UNIT = 1024  # of a bit
 CHUNK = 1 << 19
@@ -114,19 +114,28 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < cut * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        tidy()
+        held: dict[str, list[np.ndarray]] = {}
+
+        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct codes and counts of what is held, as the only thing held from now on."""
+            codes, n = (np.concatenate(x) for x in zip(*held[lang], strict=True))
+            codes, at = np.unique(codes, return_inverse=True)
+            held[lang] = [(codes, np.bincount(at, weights=n).astype(np.int64))]
+            return held[lang][0]
+
         for batch in batches:
-            for langs, texts in rows_of(batch):
-                for lang, text in zip(langs, texts, strict=True):
-                    b = np.frombuffer(b"  " + _bytes(text), dtype=np.uint8).astype(np.int32)
-                    grams = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-                    codes, n = np.unique(grams, return_counts=True)
-                    if lang not in totals:
-                        totals[lang] = np.zeros(1 << 24, dtype=np.int32)
-                    totals[lang][codes] += n.astype(np.int32)
-        for lang, t in totals.items():
-            codes = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int32)), pa.array(t[codes].astype(np.int64))], names=["lang", "code", "n"])
+            for langs, texts in rows_of(batch, 1 << 20):
+                for lang in dict.fromkeys(langs):
+                    joined = b"  ".join([b"", *(_bytes(t) for t, k in zip(texts, langs, strict=True) if k == lang)])
+                    b = np.frombuffer(joined, dtype=np.uint8).astype(np.int32)
+                    if len(b) > 2:
+                        held.setdefault(lang, []).append(np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:], return_counts=True))
+                        if len(held[lang]) > 16:
+                            merged(lang)
+        for lang in held:
+            codes, n = merged(lang)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counted = picked.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     grams = {lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in counted.groupby("lang")}
@@ -144,6 +153,7 @@ def identify(df: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id",
     schema = ", ".join([f"{n} {types[n]}" for n in ["id", *names, "text"]] + ["lang_pred string", "score double", "bits_per_byte double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         model = sent.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._util import NULL_ID, checkpointed, rows_of, width
+from codeloom.llm._util import NULL_ID, checkpointed, rows_of, tidy, width
 
 GRAM = 24
 SHARD_BYTES = 8 << 20
@@ -236,6 +236,7 @@ def _shards(docs: DataFrame) -> DataFrame:
     """(shard, ids, digests, ends, body): compressed documents in shards of about SHARD_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         part, no = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         held: list[bytes] = []
@@ -275,6 +276,7 @@ def _anchors(shards: DataFrame, length: int, buckets: int) -> DataFrame:
     """For each bucket the shard's different anchor hashes, with in how many different texts they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for row in _rows(batches):
             _, docs = _documents(row)
             first = {d: i for i, d in reversed(list(enumerate(row["digests"])))}
@@ -386,6 +388,7 @@ def _contexts(shards: DataFrame, length: int, buckets: int) -> DataFrame:
     """For each bucket and shard its different contexts, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for row in _rows(batches):
             sent = _cut(row, length, buckets)[3]
             m = len(sent)
@@ -493,6 +496,7 @@ def repeat_digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     marked, buckets = _marked(df, length, id_col, text_col, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for row in _rows(batches):
             out = []
             for _, key, d, gone in _removed(row, length, buckets):
@@ -512,6 +516,7 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     marked, buckets = _marked(df, length, id_col, text_col, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for row in _rows(batches):
             out = []
             for _, key, d, gone in _removed(row, length, buckets):
