@@ -40,7 +40,7 @@ class Encoder:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>"))  # byte-level: a character for each byte
         self.drops_spaces = self.lib.normalizer is not None
-        self.cache = WordCache(self._fresh)
+        self.cache = WordCache(self._fresh, 900_000)
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
@@ -55,8 +55,9 @@ class Encoder:
         rest = sorted(set(range(len(words))).difference(plain))
         for a in range(0, len(plain), 2000):
             some = plain[a : a + 2000]
-            ids = np.array(self.lib.encode_batch_fast([between.join([words[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(words[i].encode()) for i in some])
+            these = [words[i] for i in some]
+            ids = np.array(self.lib.encode_batch_fast([between.join(these)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, these)), dtype=np.int64, count=len(these)))
             stands = np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(stands, ends) + 1
             if cuts[-1] != len(ids) or (stands[cuts - 1] != ends).any():
