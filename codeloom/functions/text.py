@@ -110,7 +110,7 @@ def fenced_json(c: Column) -> Column:
     """The text between JSON fences, else between plain ones, else all of it."""
     tagged = F.regexp_extract(c, r"```json\s*([\s\S]*?)```", 1)
     plain = F.regexp_extract(c, r"```\s*([\s\S]*?)```", 1)
-    return F.trim(F.when(c.contains("```json"), tagged).when(c.contains("```"), plain).otherwise(c))
+    return F.regexp_replace(F.when(c.contains("```json"), tagged).when(c.contains("```"), plain).otherwise(c), r"^\s+|\s+$", "")
 
 
 def query_text(query: Column, names: Column, title: Column, body: Column) -> Column:

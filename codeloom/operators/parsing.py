@@ -131,7 +131,7 @@ def parse_java(text: str) -> tuple[list, list, list, dict]:
         return len(blank) - 1
 
     def doc(at: int) -> str | None:
-        before = re.search(r"/\*([\s\S]*?)\*/\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:\w+\s+)*$", text[:at])
+        before = re.search(r"/\*((?:(?!\*/)[\s\S])*)\*/\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:\w+\s+)*$", text[:at])
         if not before:
             return None
         rows = [re.sub(r"^\s*\*+\s?", "", x).strip() for x in before[1].split("\n")]
