@@ -18,7 +18,11 @@ import numpy as np
 from codeloom.llm._util import WordCache
 
 _PIECES = re.compile(r"\s*\S+|\s+")
-_UNSURE = re.compile("[\x1c-\x1f]")
+_UNSURE = "\x1c\x1d\x1e\x1f"
+#: Where cutting before each blank or line end is not certain: more than one blank in a row, or blanks of other kinds.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+_WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_START = "\x1c"  # marks a text's first word, which has no blank before it; texts with this character go another way
 #: Words after a space, of characters that normalisation leaves alone but for lower case of the same length.
 _PLAIN = re.compile("[ \t\n\r]+[!-~À-ÖØ-öø-ÿ]{1,64}")
 _PLAIN_BARE = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}")
@@ -48,6 +52,8 @@ class Encoder:
     def _fresh(self, words: list[str]) -> list[bytes]:
         """New words go through the library many in a row, and are told apart by how many
         bytes their tokens stand for; where that is not certain, one by one."""
+        if not self.drops_spaces:  # the words as they stand in the text
+            words = [w[1:] if w[0] == _START else w if w[0] == "\n" else " " + w for w in words]
         out: list[bytes] = [b""] * len(words)
         match = (_PLAIN_BARE if self.drops_spaces else _PLAIN).fullmatch
         between = " " if self.drops_spaces else ""
@@ -76,12 +82,15 @@ class Encoder:
 
     def split(self, text: str | None) -> list[str] | None:
         """The words that make up the text's ids; None: to be encoded whole."""
-        if not text or _UNSURE.search(text):
+        if not text or any(c in text for c in _UNSURE):
             return None
         if self.drops_spaces:  # and lower-cases: in Latin-1 a character at a time
             words = text.lower().split() if _LATIN.fullmatch(text) else text.split()
+        elif text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or (not text.isascii() and _WIDE_BLANK.search(text)):
+            words = [w[1:] if w[0] == " " and w[1:2] not in ("", "\n", _START) and not w[1].isspace() else _START + w for w in _PIECES.findall(text)]
         else:
-            words = _PIECES.findall(text)
+            words = text.replace("\n", " \n").split(" ")
+            words[0] = _START + words[0]
         return words if len(words) >= 64 or len(text) <= LONG_WORD * 8 else None
 
     def encode(self, text: str | None) -> bytes:
