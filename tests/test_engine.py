@@ -171,3 +171,18 @@ def test_query_against_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
     rows = lambda d: sorted(tuple(f"{x:.5f}" if isinstance(x, float) else str(x) for x in r) for r in d[sorted(d.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_streamed_windows_and_state(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("2024-01-01 00:05:00", "view", 2.0), ("2024-01-01 00:50:00", "view", 4.0), ("2024-01-02 00:00:00", "view", 9.0)]
+    df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    q = events.telemetry_windows(stream, width="1 hour", slide="1 hour").writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(r["n"], r["avg_value"], r["max_value"]) for r in spark.read.parquet(sink).collect()] == [(2, 3.0, 4.0)]
+    got = []
+    q = events.last_n_per_key(stream, 2).writeStream.foreachBatch(lambda b, n: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp2")).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert got == [("view", 2, 9.0)]
