@@ -27,7 +27,11 @@ _START = "\x1c"  # marks a text's first word, which has no blank before it; text
 _PLAIN = re.compile("[ \t\n\r]+[!-~À-ÖØ-öø-ÿ]{1,64}")
 _PLAIN_BARE = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}")
 _LATIN = re.compile("[\x00-\xff]*")
+#: Both pre-tokenizers cut between a letter and a tail of these.
+_TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 LONG_WORD = 4096
+MOST_TAILS = 100_000
+AT_ONCE = 100  # new words that go through the library in one text
 
 
 class Encoder:
@@ -44,13 +48,35 @@ class Encoder:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>"))  # byte-level: a character for each byte
         self.drops_spaces = self.lib.normalizer is not None
+        self.lib.model._resize_cache(0)  # words come to the library once: keeping them again costs more than it saves
+        self.tails: dict[str, bytes] = {}
         self.cache = WordCache(self._fresh, 900_000)
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
 
     def _fresh(self, words: list[str]) -> list[bytes]:
-        """New words go through the library many in a row, and are told apart by how many
+        """New words; those of letters and a tail are put together from the two."""
+        cache, tails = self.cache, self.tails
+        stems = [w.rstrip(_TAIL) for w in words]
+        stems = [x if x is not w and x.isalpha() and x[-1] <= "\xff" else None for x, w in zip(stems, words, strict=True)]
+        ends = [w[len(x) :] if x else None for x, w in zip(stems, words, strict=True)]
+        used = set(filter(None, ends))
+        if not used <= tails.keys():
+            new = list(used.difference(tails))
+            if len(tails) + len(new) > MOST_TAILS:
+                tails.clear()
+                new = list(used)
+            tails.update(zip(new, self._one_by_one(new), strict=True))
+        plain = [w for w, x in zip(words, stems, strict=True) if not x]
+        new = [x for x in set(filter(None, stems)) if x not in cache and x not in cache.old]
+        got = self._encoded(plain + new)
+        cache.update(zip(new, got[len(plain) :], strict=True))
+        rest = iter(got)
+        return [cache[x] + tails[y] if x else next(rest) for x, y in zip(stems, ends, strict=True)]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Words go through the library many in a row, and are told apart by how many
         bytes their tokens stand for; where that is not certain, one by one."""
         if not self.drops_spaces:  # the words as they stand in the text
             words = [w[1:] if w[0] == _START else w if w[0] == "\n" else " " + w for w in words]
@@ -59,11 +85,11 @@ class Encoder:
         between = " " if self.drops_spaces else ""
         plain = [i for i, w in enumerate(words) if match(w)]
         rest = sorted(set(range(len(words))).difference(plain))
-        for a in range(0, len(plain), 2000):
-            some = plain[a : a + 2000]
+        for a in range(0, len(plain), AT_ONCE):
+            some = plain[a : a + AT_ONCE]
             these = [words[i] for i in some]
             ids = np.array(self.lib.encode_batch_fast([between.join(these)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, these)), dtype=np.int64, count=len(these)))
+            ends = np.cumsum(np.fromiter(map(len, these if "".join(these).isascii() else map(str.encode, these)), dtype=np.int64, count=len(these)))
             stands = np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(stands, ends) + 1
             if cuts[-1] != len(ids) or (stands[cuts - 1] != ends).any():
