@@ -30,6 +30,7 @@ _LATIN = re.compile("[\x00-\xff]*")
 #: Both pre-tokenizers cut between a letter and a tail of these.
 _TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 LONG_WORD = 4096
+TOGETHER = 1 << 14  # characters
 MOST_TAILS = 100_000
 AT_ONCE = 100  # new words that go through the library in one text
 
@@ -123,7 +124,18 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, with the new words of all of them learned at once."""
+        """The ids of each text; texts go through together as long as their words stay in the processor's cache."""
+        out: list[bytes] = []
+        a, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text or "")
+            if held > TOGETHER and i > a:
+                out += self._encode_some(texts[a:i])
+                a, held = i, len(text or "")
+        return out + self._encode_some(texts[a:])
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        """The new words of all of ``texts`` are learned at once."""
         split = list(map(self.split, texts))
         ids = self.cache.lookup(list(chain.from_iterable(w for w in split if w)))
         out, a = [], 0
