@@ -42,14 +42,18 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lib = self.bare = Tokenizer.from_file(path)
+        self.drops_spaces = self.lib.normalizer is not None
+        if self.drops_spaces:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None  # for words that normalisation would leave as they are
+        for lib in (self.lib, self.bare):
+            lib.encode_special_tokens = True  # their strings in a text are ordinary text
+            lib.model._resize_cache(0)  # words come to the library once: keeping them again costs more than it saves
         vocabulary = self.lib.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>"))  # byte-level: a character for each byte
-        self.drops_spaces = self.lib.normalizer is not None
-        self.lib.model._resize_cache(0)  # words come to the library once: keeping them again costs more than it saves
         self.tails: dict[str, bytes] = {}
         self.cache = WordCache(self._fresh, 900_000)
 
@@ -89,8 +93,11 @@ class Encoder:
         for a in range(0, len(plain), AT_ONCE):
             some = plain[a : a + AT_ONCE]
             these = [words[i] for i in some]
-            ids = np.array(self.lib.encode_batch_fast([between.join(these)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(np.fromiter(map(len, these if "".join(these).isascii() else map(str.encode, these)), dtype=np.int64, count=len(these)))
+            text = between.join(these)
+            if self.drops_spaces:
+                text = text.lower()
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(np.fromiter(map(len, these if text.isascii() else map(str.encode, these)), dtype=np.int64, count=len(these)))
             stands = np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(stands, ends) + 1
             if cuts[-1] != len(ids) or (stands[cuts - 1] != ends).any():
