@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, language_id, line_dedup, ngram_join, packing, piece_codec, quality, suffix_dedup, token_files, topk
+from codeloom.llm import chat, language_id, line_dedup, ngram_join, packing, piece_codec, quality, suffix_dedup, token_files, tokens, topk
 from codeloom.llm.graph import connected_components
 from codeloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from codeloom.llm.tokens import Encoder
@@ -152,6 +152,23 @@ def test_word_by_word_ids(name):
     assert e.encode_all(texts) == [e.whole(t) for t in texts] and e.encode(None) == b""
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_with_tails(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MOST_TAILS", 5)
+    monkeypatch.setattr(tokens, "TOGETHER", 300)
+    lib = Tokenizer.from_file(tokenizer_path(name))
+    lib.encode_special_tokens = True
+    e = Encoder(tokenizer_path(name))
+    rng = random.Random(8)
+    stems = ["it", "Été", "straße", "ÀÉ", "x1", "3", "ª", "жар", "日本", "don't", "e\u0301", "o'", "", "K", "İ"]
+    tails = ["", ",", "'s", "'", "!!", "'ll.", "...", "</w>", "<|endoftext|>", "=\u0338", "²", "\xa0", "-a", '"', "$$$"]
+    texts = [rng.choice(" \n").join(rng.choice(stems) + rng.choice(tails) for _ in range(rng.randint(1, 90))) for _ in range(400)]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode_all(texts) == want and len(e.tails) <= len(tails)
+
+
 def test_plan_is_no_worse_than_best_fit():
     rng = random.Random(6)
     for _ in range(200):
