@@ -510,8 +510,9 @@ def repeat_digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
 
 def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """Rows (id, text, n_bytes, n_removed, starts, ends): what is left of each text, and the
-    removed spans in bytes. Characters that a span cuts through go with it."""
+    """Rows (id, text, n_bytes, n_removed, starts, ends, whole_md5): what is left of each text,
+    the removed spans in bytes, and the digest of the whole text, which tells rows of one id
+    apart. Characters that a span cuts through go with it."""
 
     marked, buckets = _marked(df, length, id_col, text_col, hot)
 
@@ -522,8 +523,8 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
             for _, key, d, gone in _removed(row, length, buckets):
                 begins, ends = _runs(gone)
                 parts = [d[a:b].decode("utf-8", "ignore") for a, b in zip([0, *ends], [*begins, len(d)], strict=True)]
-                out.append((None if key == NULL_ID else key, "".join(parts), len(d), int(gone.sum()), begins.tolist(), ends.tolist()))
+                out.append((None if key == NULL_ID else key, "".join(parts), len(d), int(gone.sum()), begins.tolist(), ends.tolist(), hashlib.md5(d).hexdigest()))
             c = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64()))], names=["id", "text", "n_bytes", "n_removed", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6])], names=["id", "text", "n_bytes", "n_removed", "starts", "ends", "whole_md5"])
 
-    return marked.mapInArrow(run, "id long, text string, n_bytes long, n_removed long, starts array<long>, ends array<long>").withColumnRenamed("id", id_col)
+    return marked.mapInArrow(run, "id long, text string, n_bytes long, n_removed long, starts array<long>, ends array<long>, whole_md5 string").withColumnRenamed("id", id_col)

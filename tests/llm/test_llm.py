@@ -373,3 +373,26 @@ def test_pipeline_stages(spark):
     assert all(len(r["text"]) <= len(before[r["doc_id"]]) and r["n_chars"] == len(r["text"]) for r in after)
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in after}
+
+
+def test_pipeline_keeps_null_ids_and_one_row_of_repeated_ones(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    near = lambda t: t + " end"
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, near(b)), (1, c), (2, near(c)), (2, d), (5, e), (5, e), (5, f), (None, near(f)), (8, None), (None, ""), (None, "")]
+    table = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.join_near_copies(spark, table, SF)
+    count = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    kept_of_b = [t for t in (b, near(b)) if count[(None, t)]]
+    assert len(kept_of_b) == 1
+    assert count == Counter([(None, a), (None, kept_of_b[0]), (1, c), (2, d), (5, e), (5, f), (8, None), (None, ""), (None, "")])
+    assert corpus_pipeline.join_near_copies(spark, table.limit(0), SF).count() == 0
+
+    left = corpus_pipeline.remove_repeated_passages(spark, spark.createDataFrame(got.collect(), table.schema), SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter({(i, t or ""): n for (i, t), n in count.items()})
+    source = {(i, t or ""): {f"s{k}" for k, x in enumerate(rows) if x == (i, t)} for i, t in rows}
+    assert all(r["source"] in source[(r["doc_id"], r["text"])] for r in left)
+
