@@ -396,3 +396,15 @@ def test_pipeline_keeps_null_ids_and_one_row_of_repeated_ones(spark):
     source = {(i, t or ""): {f"s{k}" for k, x in enumerate(rows) if x == (i, t)} for i, t in rows}
     assert all(r["source"] in source[(r["doc_id"], r["text"])] for r in left)
 
+
+
+def test_pipeline_drops_repeated_lines_of_a_source(spark):
+    import corpus_pipeline
+
+    own = lambda k: f"first words of {k} and some more\nlast words of {k} and some more"
+    rows = [(k, own(k) + ("\nsubscribe now" if k % 20 == 0 else "\nseen twice" if k in (3, 5) else "")) for k in range(300)]
+    copies = [(1000 + k, f"a long line that near copies share, and another one\ncopy {k}") for k in range(10)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + copies], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, SF).collect()}
+    want = {i: own(i) if i % 20 == 0 else t for i, t in rows} | dict(copies)
+    assert got == want
