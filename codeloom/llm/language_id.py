@@ -5,9 +5,10 @@ after its context costs -log2(c / (n + d)); otherwise an escape, -log2(d / (n +
 d)), is paid and the next shorter context is asked (n symbols, d different ones;
 below order 0 all bytes are alike). With frozen statistics the cost of a byte is
 a function of the last three bytes, so code lengths are table look-ups, summed
-as integers (1/1024 bit): exact, and the same in whatever batches rows come. The
-bytes that are rare in training share one class, as they hardly tell languages
-apart. Texts are compared in lower case.
+as integers (1/1024 bit): exact, and the same in whatever batches rows come. Each
+byte seen in training is a symbol of its own; those that no language has share
+one. Costs of the three-byte strings seen are listed; all others are an escape
+and the cost in the shorter context. Texts are compared in lower case.
 
 The trees are learned from a sample of labelled rows with a documented bound
 (``max_docs`` rows of each language, chosen by a hash of the id, whole texts);
@@ -36,12 +37,16 @@ CHUNK = 1 << 19
 
 @dataclass
 class ContextTrees:
-    """Frozen statistics: ``classes`` maps bytes to symbol classes, ``cost`` has a row
-    for each three classes and a column for each language."""
+    """Frozen statistics: ``classes`` maps bytes to symbol classes, ``slot`` has a number for
+    each three classes, 0 where no language has them. ``cost`` has a row for each slot,
+    ``escape`` (bits) for the two classes before, ``shorter`` for the last two; columns are languages."""
 
     langs: list[str]
     classes: np.ndarray
+    slot: np.ndarray
     cost: np.ndarray
+    escape: np.ndarray
+    shorter: np.ndarray
     size: int
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
@@ -56,7 +61,11 @@ class ContextTrees:
             c = self.classes[flat[low:b]]
             index = np.zeros(b - low, dtype=np.int32)
             index[2:] = (c[:-2] * self.size + c[1:-1]) * self.size + c[2:]
-            cost = self.cost[index[a - low :]]
+            index = index[a - low :]
+            slot = self.slot[index]
+            cost = self.cost[slot]
+            new = np.flatnonzero(slot == 0)
+            cost[new] = np.round((self.escape[index[new] // self.size] + self.shorter[index[new] % self.size**2]) * UNIT)
             first = int(np.searchsorted(owner_end, a, side="right"))
             last = int(np.searchsorted(owner_end, b - 1, side="right"))
             starts = np.r_[a, owner_end[first:last]]
@@ -68,7 +77,7 @@ class ContextTrees:
         return out
 
 
-def learn(grams: dict[str, tuple[np.ndarray, np.ndarray]], classes_kept: int = 95) -> ContextTrees:
+def learn(grams: dict[str, tuple[np.ndarray, np.ndarray]], classes_kept: int = 256) -> ContextTrees:
     """From each language's three-byte strings (24-bit codes) and their counts."""
     langs = sorted(grams)
     seen = np.zeros(256)
@@ -79,21 +88,33 @@ def learn(grams: dict[str, tuple[np.ndarray, np.ndarray]], classes_kept: int = 9
     size = len(common) + 1
     classes = np.full(256, size - 1, dtype=np.int32)
     classes[common] = np.arange(len(common))
-    table = np.zeros((size**3, len(langs)), dtype=np.int32)
-    for k, lang in enumerate(langs):
-        codes, counts = grams[lang]
+    threes = {}
+    for lang, (codes, counts) in grams.items():
         c = [classes[(codes >> s) & 255].astype(np.int64) for s in (16, 8, 0)]
-        three = np.bincount((c[0] * size + c[1]) * size + c[2], weights=counts, minlength=size**3).reshape(size * size, size)
+        three, at = np.unique((c[0] * size + c[1]) * size + c[2], return_inverse=True)
+        threes[lang] = three, np.bincount(at, weights=counts)
+    listed = np.unique(np.concatenate([t for t, _ in threes.values()]))
+    slot = np.zeros(size**3, dtype=np.int32)
+    slot[listed] = np.arange(1, len(listed) + 1)
+    table = np.zeros((len(listed) + 1, len(langs)), dtype=np.int32)
+    escapes, shorters = np.zeros((size * size, len(langs))), np.zeros((size * size, len(langs)))
+    for k, lang in enumerate(langs):
+        three, counts = threes[lang]
         cost = np.full(size, np.log2(size))
-        for stats in (three.sum(axis=0)[None, :], three.reshape(size, size, size).sum(axis=0), three):
+        for stats in (np.bincount(three % size, weights=counts, minlength=size)[None, :], np.bincount(three % size**2, weights=counts, minlength=size**2).reshape(size, size)):
             n, d = stats.sum(axis=1, keepdims=True), (stats > 0).sum(axis=1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 escape = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
                 hit = -np.log2(stats / (n + d))
-            shorter = np.broadcast_to(cost, stats.shape) if cost.ndim == 1 else np.tile(cost, (len(stats) // len(cost), 1))
-            cost = np.where(stats > 0, hit, escape + shorter)
-        table[:, k] = np.round(cost.reshape(-1) * UNIT)
-    return ContextTrees(langs, classes, table, size)
+            cost = np.where(stats > 0, hit, escape + cost.reshape(1, -1))
+        shorters[:, k] = cost.reshape(-1)
+        n, d = np.bincount(three // size, weights=counts, minlength=size**2), np.bincount(three // size, minlength=size**2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escapes[:, k] = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
+        bits = escapes[listed // size, k] + shorters[listed % size**2, k]
+        bits[slot[three] - 1] = -np.log2(counts / (n + d)[three // size])
+        table[1:, k] = np.round(bits * UNIT)
+    return ContextTrees(langs, classes, slot, table, escapes, shorters, size)
 
 
 def _bytes(text: str) -> bytes:
@@ -146,7 +167,7 @@ def identify(df: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id",
     """Rows (id, carried columns, lang_pred, score, bits_per_byte). The score is the best
     language's posterior under equal priors."""
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(trees)  # classes ** 3 costs for each language
+    sent = spark.sparkContext.broadcast(trees)  # classes ** 3 numbers, and costs of the strings seen
     names = [f"c{k}" for k in range(len(carry))]
     source = df.select(F.col(id_col).alias("id"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text_col).alias("text"))
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}

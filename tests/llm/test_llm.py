@@ -408,3 +408,17 @@ def test_pipeline_drops_repeated_lines_of_a_source(spark):
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, SF).collect()}
     want = {i: own(i) if i % 20 == 0 else t for i, t in rows} | dict(copies)
     assert got == want
+
+
+def test_small_languages_keep_their_bytes():
+    rng = random.Random(3)
+    data = {"big": bytes(rng.randrange(128) for _ in range(20_000)), "p": bytes(rng.randrange(192, 208) for _ in range(300)), "q": bytes(rng.randrange(208, 224) for _ in range(300))}
+    grams = {}
+    for k, b in data.items():
+        c = Counter((b[i] << 16) | (b[i + 1] << 8) | b[i + 2] for i in range(len(b) - 2))
+        grams[k] = (np.array(list(c)), np.array(list(c.values()), dtype=float))
+    m = language_id.learn(grams)
+    assert len({int(m.classes[x]) for b in data.values() for x in b}) == len({x for b in data.values() for x in b})
+    cost = m.code_lengths([data["p"][:60], data["q"][:60]])
+    assert cost.argmin(axis=1).tolist() == [m.langs.index("p"), m.langs.index("q")]
+    assert cost[0, m.langs.index("q")] > 60 * 4 * language_id.UNIT > cost[0, m.langs.index("p")]
