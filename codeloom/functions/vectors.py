@@ -25,9 +25,11 @@ def boost(score: Column, entity_type: Column) -> Column:
     return score * F.when(entity_type == "file", F.lit(1.2)).when(entity_type == "class", F.lit(1.1)).otherwise(F.lit(1.0))
 
 
-def hashed_embedding(text: Column, dim: int = 64, most_chars: int = 2000) -> Column:
-    """A deterministic stand-in for a learned model: signed counts of word hashes, normalised."""
-    words = F.filter(F.split(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, most_chars)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+def hashed_embedding(text: Column, dim: int = 64, most_chars: int | None = None) -> Column:
+    """A deterministic stand-in for a learned model: signed counts of word hashes, normalised.
+    The whole text counts, unless ``most_chars`` is given."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(F.lower(text if most_chars is None else F.substring(text, 1, most_chars)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     cell = lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, F.when(h > 0, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.lit(0.0)))
     return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell))

@@ -186,3 +186,8 @@ def test_streamed_windows_and_state(spark, tmp_path):
     q = events.last_n_per_key(stream, 2).writeStream.foreachBatch(lambda b, n: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp2")).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert got == [("view", 2, 9.0)]
+
+
+def test_embedding_reads_the_whole_text(spark):
+    row = spark.createDataFrame([("a " * 1500,)], "t string").select(*[vectors.hashed_embedding(x).alias(n) for n, x in (("short", F.col("t")), ("long", F.concat("t", F.lit("zebra " * 2000))))]).first()
+    assert row["short"] != row["long"]
