@@ -1,31 +1,40 @@
 """Suffix-array dedup: repeated byte strings of a given length across documents.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts in a
-document with a smaller id. Each string belongs to one anchor, the place of the
-least hash among its 24-byte grams, which its bytes alone decide, so that equal
-strings meet at equal anchors. The steps:
-
-1. Documents are put into shards of some megabytes, written once, compressed.
-   Equal texts are found by digest; only the smallest id of each goes further.
-2. Shards exchange 32-bit anchor hashes; those in two documents or more come back
-   (a superset is harmless).
-3. Each shard cuts the contexts of its repeated anchors, sorts them (a sparse
-   suffix array: suffixes that start at the first string of an anchor) and sends
-   each different one once, with its smallest document.
+document with a smaller id. The steps:
+
+1. Documents are put into shards of some megabytes; of equal texts in a shard only
+   the one of the smallest id goes on. The suffix array of all the shard's bytes is
+   built by Larsson-Sadakane refinement (ranks by the first symbols, then doubling,
+   sorting only groups that are not yet single). Kasai's pass gives the common
+   prefixes of neighbours, and suffixes in a run of common prefixes of ``length`` or
+   more start with equal strings: all but those of the run's smallest id are repeats.
+   Shards are written once, compressed, with their repeats as bits.
+2. What is left is each shard's first place of every string. Of those, only what
+   other shards may have too crosses shards. Each string belongs to one anchor, the
+   place of the least hash among its 24-byte grams, which its bytes alone decide.
+   Shards exchange 32-bit anchor hashes; those of two shards or more come back (a
+   superset is harmless).
+3. Each shard sends its suffixes at the first string of each such anchor, cut where
+   the anchor's last string ends, as sorted lists of different ones with their
+   smallest document, dealt by anchor.
 4. For each range of anchors the sorted lists of all shards are merged by binary
-   search. Among different contexts of one anchor, the suffix array of the range's
-   contexts is built by Larsson-Sadakane refinement (ranks by the first symbols,
-   then doubling, sorting only groups that are not yet single), Kasai's pass gives
-   the common prefixes, and suffixes in a run of common prefixes of ``length`` or
-   more are equal strings: the run's smallest document is the string's first.
-   Anchors of very many contexts send single strings, dealt by the string's own
+   search, two by two. Among different suffixes of one anchor, the suffix array of
+   the range's suffixes and its common prefixes tell the equal strings, as in 1.
+   Anchors of very many suffixes send single strings, dealt by the string's own
    hash, so that no anchor gathers in one task.
 5. Each shard marks what its strings' first documents leave to it.
 
+How many ranges there are follows from the bytes of all documents, so that a range
+stays of some megabytes. A shard of one document has no repeats of its own, so no
+array is built for it, however long the document. Equal texts of several shards are
+found by digest, one row for each shard and text; only the smallest id goes on.
+
 Null texts are empty. Texts shorter than ``length`` lose nothing. Equal texts
 lose all but one copy, if they are that long; rows that repeat an id do not count
-against each other. A null id counts as larger than all others and stays null.
-Only the id and text columns are read. An empty table gives no row.
+against each other. A null id counts as larger than all others (as the id 2^63-1
+does) and stays null. Only the id and text columns are read. An empty table gives
+no row.
 """
 
 from __future__ import annotations
@@ -45,7 +54,9 @@ from pyspark.sql import functions as F
 from codeloom.llm._util import NULL_ID, checkpointed, rows_of, tidy, width
 
 GRAM = 24
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20  # of all documents, for each range of anchors
+LANE = 256  # places that one lane of Kasai's pass goes through
 PIECE = 1 << 19  # bytes hashed at a time
 HOT = 8_192  # occurrences from which an anchor's strings are sent one by one
 BATCH = 1 << 13  # contexts in one suffix array
@@ -145,65 +156,125 @@ def suffix_array(symbols: np.ndarray, room: np.ndarray, longest: int) -> np.ndar
     """Order of all suffixes by Larsson-Sadakane refinement. ``symbols`` are positive,
     ``room`` says how many symbols are left in the string that a place belongs to;
     equal suffixes are in the order of their places."""
+    return _refined(symbols, room, longest)[0]
+
+
+def _refined(symbols: np.ndarray, room: np.ndarray | None, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of all suffixes, where in it those stand that may share ``longest`` symbols
+    with another). Without ``room`` the strings end with the symbol 0, what follows it
+    decides between suffixes that are equal up to there, and refinement goes on until all
+    ranks are single; with it, for as many symbols as the longest string has."""
     n = len(symbols)
-    key = np.zeros(n, dtype=np.int64)
+    kind = "stable" if room is not None else "quicksort"
     padded = np.r_[symbols.astype(np.int64), np.zeros(SYMBOLS, dtype=np.int64)]
+    key = np.zeros(n, dtype=np.int64)
     for k in range(SYMBOLS):
-        key = (key << 9) | np.where(room > k, padded[k : k + n], 0)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
+        key <<= 9
+        key |= padded[k : k + n] if room is None else np.where(room > k, padded[k : k + n], 0)
+    del padded
+    order = np.argsort(key, kind=kind).astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
 
     def rerank(places: np.ndarray, keys: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """New ranks of ``places`` (sorted by ``keys``; ``begin``: where each stands in the
         order): the first place of its group. Returns what is not yet single."""
         new = np.r_[True, keys[1:] != keys[:-1]]
         head = np.flatnonzero(new)
-        rank[places] = begin[head][np.cumsum(new) - 1]
-        many = np.diff(np.r_[head, len(places)]) > 1
-        return np.repeat(many, np.diff(np.r_[head, len(places)]))
-
-    at = np.arange(n)
-    open_ = rerank(order, key[order], at)
-    at = at[open_]
-    depth = SYMBOLS
-    while len(at) and depth < longest:
+        size = np.diff(np.r_[head, len(places)])
+        rank[places] = np.repeat(begin[head], size)
+        return np.repeat(size > 1, size)
+
+    if not n:
+        return order, order
+    at = np.arange(n, dtype=np.int32)
+    at = at[rerank(order, key[order], at)]
+    del key
+    depth, last = SYMBOLS, at
+    while len(at) and (depth < longest or room is None):
+        last = at if depth < longest else last
         places = order[at]
-        after = np.where(room[places] > depth, rank[np.minimum(places + depth, n - 1)] + 1, 0)
-        keys = rank[places] * (n + 1) + after
-        by = np.argsort(keys, kind="stable")
-        order[at] = places[by]
-        open_ = rerank(places[by], keys[by], at)
-        at = at[open_]
+        further = places + np.int32(depth)
+        after = rank[np.minimum(further, n - 1)] + 1
+        after[(further >= n) if room is None else (room[places] <= depth)] = 0
+        keys = (rank[places].astype(np.int64) << 32) | after
+        by = np.argsort(keys, kind=kind)
+        order[at] = places = places[by]
+        at = at[rerank(places, keys[by], at)]
         depth *= 2
-    return order
+    return order, last
 
 
 def kasai(symbols: np.ndarray, room: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``: Kasai's pass, for
     all strings side by side, place after place, one symbol less each time."""
+    return _prefixes_along(symbols, room, starts, room[starts], order, len(symbols))
+
+
+def _prefixes_along(symbols: np.ndarray, room: np.ndarray, starts: np.ndarray, lens: np.ndarray, order: np.ndarray, longest: int) -> np.ndarray:
+    """Kasai's pass along the lanes that begin at ``starts`` and have ``lens`` places; common
+    prefixes count up to ``longest``, and are 0 for places in no lane."""
     n = len(symbols)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    lcp = np.zeros(n, dtype=np.int64)
-    lens = room[starts]
-    h = np.zeros(len(starts), dtype=np.int64)
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    lcp = np.zeros(n, dtype=np.int32)
+    by = np.argsort(-lens, kind="stable")  # longest lanes first, so that those still going on are in front
+    starts, lens = starts[by], lens[by]
+    h = np.zeros(len(starts), dtype=np.int32)
+    live = len(starts)
     for t in range(int(lens.max(initial=0))):
-        live = np.flatnonzero(lens > t)
-        i = starts[live] + t
+        live = int(np.searchsorted(-lens[:live], -t, side="left"))
+        i = (starts[:live] + t).astype(np.int32)
         r = rank[i]
         j = order[np.maximum(r - 1, 0)]
-        most = np.where(r > 0, np.minimum(room[i], room[j]), 0)
-        k = np.minimum(np.maximum(h[live] - 1, 0), most)
+        most = np.where(r > 0, np.minimum(np.minimum(room[i], room[j]), longest), 0).astype(np.int32)
+        k = np.minimum(np.maximum(h[:live] - 1, 0), most)
         on = np.flatnonzero(k < most)
         while len(on):
             on = on[symbols[i[on] + k[on]] == symbols[j[on] + k[on]]]
             k[on] += 1
             on = on[k[on] < most[on]]
-        h[live] = k
+        h[:live] = k
         lcp[r] = k
     return lcp
 
 
+def repeats_in_shard(texts: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
+    """For each byte of the concatenated ``texts``: whether the string of ``length`` bytes that
+    starts there also starts in a text of a smaller id. By the suffix array of all bytes."""
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    out = np.zeros(int(lens.sum()), dtype=bool)
+    long = np.flatnonzero(lens >= length)
+    if len(long) < 2 or (ids[long] == ids[long[0]]).all():
+        return out
+    flat = np.frombuffer(b"\xff".join([texts[i] for i in long] + [b""]), dtype=np.uint8)  # a byte that no UTF-8 has
+    symbols = flat.astype(np.int16) + 1
+    ends = np.cumsum(lens[long] + 1) - 1  # of each text, in flat
+    symbols[ends] = 0
+    order, last = _refined(symbols, None, length)
+    places = np.sort(order[last])  # all suffixes whose strings may not be single, as stretches in the texts
+    owner = np.searchsorted(ends, places)
+    room = np.zeros(len(flat), dtype=np.int32)
+    room[places] = ends[owner] - places
+    places = places[room[places] >= length]
+    head = np.flatnonzero(np.r_[True, np.diff(places) != 1]) if len(places) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.r_[head, len(places)])
+    lanes = -(-size // LANE)
+    no = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    starts = np.repeat(places[head] if len(places) else head, lanes) + no * LANE
+    lcp = _prefixes_along(symbols, room, starts, np.minimum(np.repeat(size, lanes) - no * LANE, LANE), order, length)
+    if not len(last):
+        return out
+    same = lcp[last] >= length
+    run = np.flatnonzero(~same)  # the first of ``last`` has no neighbour of an equal string before it
+    who = ids[long][np.searchsorted(ends, order[last])]
+    first = np.repeat(np.minimum.reduceat(who, run), np.diff(np.r_[run, len(last)]))
+    again = order[last[first < who]]
+    begin = np.cumsum(lens) - lens
+    which = np.searchsorted(ends, again)
+    out[begin[long[which]] + again - (ends[which] - lens[long[which]])] = True
+    return out
+
+
 def first_documents(contexts: np.ndarray, lens: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, place, first document) of the strings of ``length`` bytes in ``contexts``
     (rows of bytes, ``lens`` of them used) that a smaller document than the context's own,
@@ -232,18 +303,37 @@ def _unz(x: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=dtype)
 
 
-def _shards(docs: DataFrame) -> DataFrame:
-    """(shard, ids, digests, ends, body): compressed documents in shards of about SHARD_BYTES."""
+def pack_shard(ids: list[int | None], texts: list[bytes], length: int) -> dict:
+    """A shard's fields: each different text once, with its smallest id and its repeats in the shard."""
+    ranks = np.array([NULL_ID if i is None else i for i in ids], dtype=np.int64)
+    number: dict[bytes, int] = {}
+    text_no = np.array([number.setdefault(hashlib.sha256(t).digest(), len(number)) for t in texts], dtype=np.int64)
+    first = np.unique(text_no, return_index=True)[1]
+    different = [texts[i] for i in first]
+    least = np.full(len(number), NULL_ID, dtype=np.int64)
+    np.minimum.at(least, text_no, ranks)
+    repeats = repeats_in_shard(different, least, length)
+    ends = np.cumsum([len(t) for t in different], dtype="<i8")
+    return {"ids": ids, "text_no": text_no.tolist(), "least": least.tolist(), "digests": list(number), "n_bytes": sum(map(len, texts)), "ends": _z(ends), "body": _z(b"".join(different), 4), "repeats": _z(np.packbits(repeats, bitorder="little"))}
+
+
+SHARD = "ids array<long>, text_no array<int>, least array<long>, digests array<binary>, n_bytes long, ends binary, body binary, repeats binary"
+SHARD_TYPES = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _shards(docs: DataFrame, length: int) -> DataFrame:
+    """(shard, its fields): documents in shards of about SHARD_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         part, no = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
+        ids: list[int | None] = []
         held: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + no], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[hashlib.sha256(x).digest() for x in held]], pa.list_(pa.binary())), pa.array([_z(np.cumsum([len(x) for x in held], dtype="<i8"))]), pa.array([_z(b"".join(held), 4)])], names=["shard", "ids", "digests", "ends", "body"])
+            fields = pack_shard(ids, held, length)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + no], pa.int64()), *[pa.array([v], t) for v, t in zip(fields.values(), SHARD_TYPES, strict=True)]], names=["shard", *fields])
 
         for batch in batches:
             for keys, texts in rows_of(batch):
@@ -258,12 +348,25 @@ def _shards(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("id", "text").mapInArrow(run, "shard long, ids array<long>, digests array<binary>, ends binary, body binary")
+    return docs.select("id", "text").mapInArrow(run, f"shard long, {SHARD}")
+
 
+def _texts(row: dict) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(smallest ids, texts, repeats in the shard by byte) of a shard's different texts."""
+    ends, body = _unz(row["ends"], "<i8"), zstandard.ZstdDecompressor().decompress(row["body"])
+    repeats = np.unpackbits(_unz(row["repeats"], "u1"), count=len(body), bitorder="little").view(bool)
+    return np.array(row["least"], dtype=np.int64), [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], repeats
 
-def _documents(row: dict) -> tuple[np.ndarray, list[bytes]]:
-    ids, ends, body = np.array(row["ids"], dtype=np.int64), _unz(row["ends"], "<i8"), zstandard.ZstdDecompressor().decompress(row["body"])
-    return ids, [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+def _first_runs(texts: list[bytes], repeats: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``anchor_runs`` of the texts, but for stretches of which every string is a repeat in the shard."""
+    runs = anchor_runs(texts, length)
+    doc, s, e = runs[:3]
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    base = (np.cumsum(lens) - lens)[doc]
+    new = np.r_[0, np.cumsum(~repeats, dtype=np.int64)]
+    some = new[base + e + 1] > new[base + s]
+    return tuple(x[some] for x in runs)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -278,10 +381,8 @@ def _anchors(shards: DataFrame, length: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for row in _rows(batches):
-            _, docs = _documents(row)
-            first = {d: i for i, d in reversed(list(enumerate(row["digests"])))}
-            texts = [docs[i] for i in sorted(first.values())]
-            doc, _, _, _, h = anchor_runs(texts, length)
+            _, texts, repeats = _texts(row)
+            doc, _, _, _, h = _first_runs(texts, repeats, length)
             bucket = _bucket(h, buckets)
             short = h.astype(np.uint32)
             order = np.lexsort((doc, short, bucket))
@@ -297,7 +398,7 @@ def _anchors(shards: DataFrame, length: int, buckets: int) -> DataFrame:
             deltas = [_z(np.diff(short[a:b], prepend=np.uint32(0)).astype("<u4").reshape(-1, 1).view("u1").T.copy()) for a, b in zip(cuts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array(bucket[cuts] if m else [], pa.int32()), pa.array(deltas, pa.binary()), pa.array([_z(times[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["shard", "bucket", "hashes", "times"])
 
-    return shards.select("shard", "ids", "digests", "ends", "body").mapInArrow(run, "shard long, bucket int, hashes binary, times binary")
+    return shards.select("shard", "least", "ends", "body", "repeats").mapInArrow(run, "shard long, bucket int, hashes binary, times binary")
 
 
 def _hashes(x: bytes) -> np.ndarray:
@@ -306,30 +407,34 @@ def _hashes(x: bytes) -> np.ndarray:
 
 
 def _repeated(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
-    """For each shard of a bucket: its hashes in two texts or more, and which are hot."""
+    """For each shard of a bucket: its hashes that another shard has too, and which are hot."""
     lists = [_hashes(x) for x in pdf["hashes"]]
     times = [_unz(x, "<u2").astype(np.int64) for x in pdf["times"]]
     values, number = np.unique(np.concatenate(lists), return_inverse=True)
     total = np.bincount(number, weights=np.concatenate(times), minlength=len(values))
+    holders = np.bincount(number, minlength=len(values))
     out, at = [], 0
     for shard, mine in zip(pdf["shard"], lists, strict=True):
-        t = total[number[at : at + len(mine)]]
+        mine_at = number[at : at + len(mine)]
+        t = total[mine_at]
         at += len(mine)
-        keep = t >= 2
+        keep = holders[mine_at] >= 2
         out.append((shard, _z(mine[keep].astype("<u4")), _z((t[keep] >= hot).astype("u1"))))
     return pd.DataFrame({"shard": [o[0] for o in out], "bucket": pdf["bucket"].to_numpy(), "wanted": [o[1] for o in out], "hot": [o[2] for o in out]})
 
 
 def _cut(row: dict, length: int, buckets: int) -> tuple:
-    """(ids, documents, (document, first string, last string, bucket, number) of each
-    occurrence, (bucket, sorted different contexts, their least ids)) of a shard. The
+    """(smallest ids, texts, repeats, (text, first string, last string, bucket, number) of
+    each occurrence, (bucket, sorted different contexts, their least ids)) of a shard. The
     numbers count a bucket's contexts, and are the same each time."""
     span = length - GRAM + 1
     wide = length + span - 1
-    ids, docs = _documents(row)
+    ids, docs, repeats = _texts(row)
     gone = set(row["copies"] or [])
-    kept = [i for i in range(len(docs)) if i not in gone]
-    doc, s, e, p, h = anchor_runs([docs[i] for i in kept], length)
+    doc, s, e, p, h = _first_runs(docs, repeats, length)
+    if gone:
+        stay = np.array([i not in gone for i in range(len(docs))], dtype=bool)[doc]
+        doc, s, e, p, h = (x[stay] for x in (doc, s, e, p, h))
     bucket, short = _bucket(h, buckets), h.astype(np.uint32)
     wanted, hot = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
     by = np.argsort(bucket, kind="stable")
@@ -351,9 +456,9 @@ def _cut(row: dict, length: int, buckets: int) -> tuple:
         doc, p, h, was_hot = doc[again], p[again], h[again], hot[again]
         s, e = np.where(was_hot, s[again] + step, s[again]), np.where(was_hot, s[again] + step, e[again])
         hot = was_hot
-    lens = np.array([len(docs[i]) for i in kept], dtype=np.int64)
+    lens = np.array([len(t) for t in docs], dtype=np.int64)
     base = np.cumsum(lens) - lens
-    flat = np.frombuffer(b"".join([docs[i] for i in kept]) + bytes(wide), dtype=np.uint8)
+    flat = np.frombuffer(b"".join(docs) + bytes(wide), dtype=np.uint8)
     size = (e - s + length).astype(np.int64)
     keys = np.zeros((len(s), wide + 4), dtype=np.uint8)
     keys[:, 0], keys[:, 1] = size >> 8, size & 255
@@ -369,7 +474,7 @@ def _cut(row: dict, length: int, buckets: int) -> tuple:
     bucket = _bucket(h, buckets)
     texts = keys.reshape(-1).view(f"S{wide + 4}") if len(s) else np.zeros(0, dtype=f"S{wide + 4}")
     no = np.zeros(len(s), dtype=np.int64)
-    owner = ids[np.array(kept, dtype=np.int64)][doc] if len(s) else np.zeros(0, dtype=np.int64)
+    owner = ids[doc]
     by = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
     sent: list[tuple] = []
@@ -381,7 +486,7 @@ def _cut(row: dict, length: int, buckets: int) -> tuple:
             np.minimum.at(least, number, owner[at])
             no[at] = number
             sent.append((k, values, least))
-    return ids, docs, (np.array(kept, dtype=np.int64)[doc] if len(s) else doc, s, e, bucket, no), sent
+    return ids, docs, repeats, (doc, s, e, bucket, no), sent
 
 
 def _contexts(shards: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -390,11 +495,24 @@ def _contexts(shards: DataFrame, length: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for row in _rows(batches):
-            sent = _cut(row, length, buckets)[3]
+            sent = _cut(row, length, buckets)[4]
             m = len(sent)
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array([x[0] for x in sent], pa.int32()), pa.array([_z(x[1].tobytes()) for x in sent], pa.binary()), pa.array([_z(x[2]) for x in sent], pa.binary())], names=["shard", "bucket", "data", "least"])
 
-    return shards.mapInArrow(run, "shard long, bucket int, data binary, least binary")
+    return shards.select("shard", "least", "ends", "body", "repeats", "copies", "wanted").mapInArrow(run, "shard long, bucket int, data binary, least binary")
+
+
+def merge_sorted(lists: list[np.ndarray]) -> np.ndarray:
+    """Sorted lists of different strings as one, two by two: places by binary search."""
+    while len(lists) > 1:
+        merged = []
+        for x, y in zip(lists[::2], lists[1::2], strict=False):
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            at = np.searchsorted(x, y)
+            new = x[np.minimum(at, len(x) - 1)] != y if len(x) else np.ones(len(y), dtype=bool)
+            merged.append(np.insert(x, at[new], y[new]))
+        lists = merged + lists[len(lists) // 2 * 2 :]
+    return lists[0]
 
 
 def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -404,7 +522,7 @@ def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     wide = length + span - 1
     lists = [_unz(x, f"S{wide + 4}") for x in pdf["data"]]
     mins = [_unz(x, "<i8") for x in pdf["least"]]
-    merged = np.unique(np.concatenate(lists))
+    merged = merge_sorted(lists)
     where = [np.searchsorted(merged, x) for x in lists]  # each sorted list, by binary search
     least = np.full(len(merged), NULL_ID, dtype=np.int64)
     for w, m in zip(where, mins, strict=True):
@@ -432,13 +550,16 @@ def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"shard": pdf["shard"], "bucket": pdf["bucket"], "least": [_z(least[w]) for w in where], "masks": [_z(packed[w]) for w in where]})
 
 
-def _removed(row: dict, length: int, buckets: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """(document, id, bytes, which of them are removed) for each of a shard's documents."""
+def _removed(row: dict, length: int, buckets: int) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
+    """(id, bytes, which of them are removed) for each of a shard's documents."""
     span = length - GRAM + 1
-    ids, docs, (doc, s, e, bucket, no), _ = _cut(row, length, buckets)
+    ids, docs, repeats, (doc, s, e, bucket, no), _ = _cut(row, length, buckets)
     lens = np.array([len(d) for d in docs], dtype=np.int64)
     base = np.cumsum(lens) - lens
-    edge = np.zeros(int(lens.sum()) + 1, dtype=np.int32)
+    edge = np.zeros(len(repeats) + 1, dtype=np.int32)
+    again = np.flatnonzero(repeats)
+    edge[again] += 1
+    edge[again + length] -= 1
     if len(s):
         by = np.argsort(bucket, kind="stable")
         sorted_buckets = bucket[by]
@@ -457,31 +578,29 @@ def _removed(row: dict, length: int, buckets: int) -> Iterator[tuple[int, int, b
             begin = base[doc[some[k]]] + s[some[k]] + t
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + length, -1)
-    for i in row["copies"] or []:
-        if lens[i] >= length:
-            edge[base[i]] += 1
-            edge[base[i] + lens[i]] -= 1
     gone = np.cumsum(edge[:-1]) > 0
-    for i, d in enumerate(docs):
-        yield i, int(ids[i]), d, gone[base[i] : base[i] + lens[i]]
+    copies = set(row["copies"] or [])
+    for key, k in zip(row["ids"], row["text_no"], strict=True):
+        whole = lens[k] >= length and (k in copies or (NULL_ID if key is None else key) > ids[k])
+        yield key, docs[k], np.ones(lens[k], dtype=bool) if whole else gone[base[k] : base[k] + lens[k]]
 
 
 def _marked(df: DataFrame, length: int, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, int]:
-    """Shards (shard, ids, digests, ends, body, copies, wanted, answers) with all that says what goes,
-    and into how many buckets anchors are dealt."""
-    buckets = width(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shards = checkpointed(_shards(docs))
+    """Shards with all that says what goes (copies, wanted, answers), and into how many
+    buckets anchors are dealt."""
+    shards = checkpointed(_shards(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), length))
+    total = shards.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    buckets = max(width(df.sparkSession), -(-total // RANGE_BYTES))
 
-    digests = shards.select("shard", "ids", F.posexplode("digests").alias("doc", "digest")).select("shard", "doc", F.get("ids", F.col("doc")).alias("id"), "digest")
+    digests = shards.select("shard", "least", F.posexplode("digests").alias("text_no", "digest")).select("shard", "text_no", F.get("least", F.col("text_no")).alias("id"), "digest")
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", "first")
-    copies = digests.join(firsts, "digest").filter(F.col("id") > F.col("first")).groupBy("shard").agg(F.collect_list("doc").alias("copies"))
-    repeated = _anchors(shards, length, buckets).groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, hot), "shard long, bucket int, wanted binary, hot binary")
+    copies = digests.join(firsts, "digest").filter(F.col("id") > F.col("first")).groupBy("shard").agg(F.collect_list("text_no").alias("copies"))
+    repeated = _anchors(shards, length, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, hot), "shard long, bucket int, wanted binary, hot binary")
     wanted = repeated.groupBy("shard").agg(F.collect_list(F.struct("bucket", "wanted", "hot")).alias("wanted"))
     known = checkpointed(copies.join(wanted, "shard", "full"))
-    asked = shards.join(known, "shard", "left")
-    merged = _contexts(asked, length, buckets).groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, length), "shard long, bucket int, least binary, masks binary")
-    back = merged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "least", "masks")).alias("answers"))
+    asked = shards.drop("digests", "n_bytes").join(known, "shard", "left")
+    merged = _contexts(asked, length, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, length), "shard long, bucket int, least binary, masks binary")
+    back = merged.groupBy("shard").agg(F.collect_list(F.struct("bucket", F.col("least"), "masks")).alias("answers"))
     return asked.join(back, "shard", "left"), buckets
 
 
@@ -499,10 +618,10 @@ def repeat_digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         tidy()
         for row in _rows(batches):
             out = []
-            for _, key, d, gone in _removed(row, length, buckets):
+            for key, d, gone in _removed(row, length, buckets):
                 begins, _ = _runs(gone)
                 rest = np.frombuffer(d, dtype=np.uint8)[~gone].tobytes() if len(begins) else d
-                out.append((None if key == NULL_ID else key, len(d), len(d) - len(rest), len(begins), hashlib.sha256(rest).hexdigest()))
+                out.append((key, len(d), len(d) - len(rest), len(begins), hashlib.sha256(rest).hexdigest()))
             c = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4])], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -520,10 +639,10 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         tidy()
         for row in _rows(batches):
             out = []
-            for _, key, d, gone in _removed(row, length, buckets):
+            for key, d, gone in _removed(row, length, buckets):
                 begins, ends = _runs(gone)
                 parts = [d[a:b].decode("utf-8", "ignore") for a, b in zip([0, *ends], [*begins, len(d)], strict=True)]
-                out.append((None if key == NULL_ID else key, "".join(parts), len(d), int(gone.sum()), begins.tolist(), ends.tolist(), hashlib.md5(d).hexdigest()))
+                out.append((key, "".join(parts), len(d), int(gone.sum()), begins.tolist(), ends.tolist(), hashlib.md5(d).hexdigest()))
             c = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.list_(pa.int64())), pa.array(c[6])], names=["id", "text", "n_bytes", "n_removed", "starts", "ends", "whole_md5"])
 
