@@ -20,13 +20,16 @@ NULL_ID = (1 << 63) - 1  # a null id sorts behind every other id
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session; a local folder is set only where that is unset, as in tests."""
+    session. Where that is unset, a local folder is set if driver and executors are
+    on one machine, as in tests; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -78,7 +81,7 @@ def tidy(keep_caches: bool = False) -> None:
     if not keep_caches:
         for cache in _caches:
             cache.clear()
-            cache.old = {}
+            cache.old, cache.held = {}, 0
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
@@ -86,28 +89,35 @@ def tidy(keep_caches: bool = False) -> None:
 
 
 class WordCache(dict):
-    """word -> encoded form; ``encode`` gets a list of new words. Two generations of
-    at most ``limit`` entries: a full one becomes the old one, from which words that
+    """word -> encoded form; ``encode`` gets a list of new words. Two generations of at
+    most about ``limit`` bytes: a full one becomes the old one, from which words that
     are used again come back, so memory stays bounded and frequent words stay."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 600_000):
+    ENTRY = 200  # bytes of an entry's two objects and its place in the table, beside its characters
+
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 64 << 20):
         super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
+        self.encode, self.limit, self.old, self.held = encode, limit, {}, 0
         _caches.append(self)
 
     def __missing__(self, word: str):
-        found = self[word] = self.old[word]
-        return found
+        self.add([word], [self.old[word]])
+        return self.old[word]
+
+    def add(self, words: list[str], found: list) -> None:
+        self.held += self.ENTRY * len(words) + sum(map(len, words)) + sum(map(len, found))
+        self.update(zip(words, found, strict=True))
 
     def learn(self, words: Iterable[str]) -> None:
         """After this all of ``words`` are held."""
         words = dict.fromkeys(words)
-        if len(self) + len(words) > self.limit:
+        if self.held > self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         new = [w for w in words if w not in self and w not in self.old]
         if new:
-            self.update(zip(new, self.encode(new), strict=True))
+            self.add(new, self.encode(new))
 
     def lookup(self, words: list[str]) -> list:
         got = list(map(self.get, words))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm._util import checkpointed, rows_of
+from codeloom.llm._util import checkpointed, rows_of, tidy
 from codeloom.llm.tokens import encoder
 
 
@@ -195,6 +195,7 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
     """A row for each piece, with its rank among the pieces of its length and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep_caches=True)
         enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
@@ -230,6 +231,7 @@ def pack_pieces(df: DataFrame, vocabulary: str, capacity: int = 2048, end_id: in
     placed = pieces.join(ranks, ["length", "part"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         by_length = sent.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 5))

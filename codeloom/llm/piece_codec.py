@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm._util import WordCache, rows_of
+from codeloom.llm._util import WordCache, rows_of, tidy
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -76,8 +76,8 @@ class PieceCodec:
         solo = [c for c in "\n\t\r" if all(c not in p for p in ids)]  # in no piece: a boundary on both sides
         cls = re.escape("".join(solo))
         self.words = re.compile(f"[{cls}]|{SPACE}*[^{SPACE}{cls}]+|{SPACE}+" if solo else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache = WordCache(self._listed, 300_000)  # word -> its ids; strings only, which cost the garbage collector nothing
-        self.texts = WordCache(self._spelled, 300_000)  # ids of a word -> text
+        self.cache = WordCache(self._listed, 32 << 20)  # word -> its ids; strings only, which cost the garbage collector nothing
+        self.texts = WordCache(self._spelled, 32 << 20)  # ids of a word -> text
 
     def _index(self, keys: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> None:
         """An open-addressed table of pairs, at most half full."""
@@ -209,7 +209,7 @@ class PieceCodec:
             except UnicodeDecodeError:
                 texts.append(self._mend(ids[a:b]))
             a = b
-        self.texts.update(zip(out, texts, strict=True))
+        self.texts.add(out, texts)
         return out
 
     def _spelled(self, listed: list[str]) -> list[str]:
@@ -279,6 +279,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     """One row for each row of ``df``: id, ``ids`` array<int>, ``decoded`` string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep_caches=True)
         c = codec(model)
         for batch in batches:
             for keys, texts in rows_of(batch):
@@ -292,6 +293,7 @@ def piece_digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     """As ``encode_pieces``, with the ids and the decoded text as SHA-256 digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep_caches=True)
         c = codec(model)
         for batch in batches:
             for keys, texts in rows_of(batch, 1 << 20):

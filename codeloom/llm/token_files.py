@@ -4,7 +4,7 @@ A file is a sequence of segments, each a row of a Parquet container whose one
 ``payload`` column holds our bytes, so that any store that Spark writes will do:
 
     magic 'TFOR', uint32 version, uint64 number of ids, uint32 block size, uint32 number of documents
-    int64 document ids, uint64 cumulated ends of the documents (in ids)
+    int64 document ids, a byte for each that is 1 where the id is null, uint64 cumulated ends of the documents (in ids)
     uint64 starts of the blocks (byte offsets in the body) and the body's end
     body: per block uint32 minimum, uint8 width, uint16 number of exceptions,
           packed values of that width, uint16 exception places, uint32 exception values
@@ -30,13 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm._util import rows_of, shared_path, width
+from codeloom.llm._util import rows_of, shared_path, tidy, width
 from codeloom.llm.tokens import encoder
 
-MAGIC, VERSION, BLOCK = b"TFOR", 1, 1024
+MAGIC, VERSION, BLOCK = b"TFOR", 2, 1024
 HEAD = struct.Struct("<4sIQII")
 BLOCK_HEAD = struct.Struct("<IBH")
-NO_ID = -(1 << 63)
 
 
 def _pack_bits(values: np.ndarray, bits: int) -> bytes:
@@ -77,13 +76,13 @@ def unpack_block(raw: memoryview, n: int) -> np.ndarray:
     return out + np.uint32(low)
 
 
-def pack_segment(doc_ids: list[int], ids: list[bytes], percentile: float = 0.9, block: int = BLOCK) -> bytes:
+def pack_segment(doc_ids: list[int | None], ids: list[bytes], percentile: float = 0.9, block: int = BLOCK) -> bytes:
     """The bytes of one segment; ``ids`` are little-endian unsigned 32-bit."""
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.uint64)
     bodies = [pack_block(flat[i : i + block], percentile) for i in range(0, len(flat), block)]
     starts = np.cumsum([0] + [len(b) for b in bodies], dtype=np.uint64)
-    return b"".join([HEAD.pack(MAGIC, VERSION, len(flat), block, len(doc_ids)), np.array(doc_ids, dtype="<i8").tobytes(), ends.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), *bodies])
+    return b"".join([HEAD.pack(MAGIC, VERSION, len(flat), block, len(doc_ids)), np.array([k or 0 for k in doc_ids], dtype="<i8").tobytes(), bytes(k is None for k in doc_ids), ends.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), *bodies])
 
 
 class Segment:
@@ -95,8 +94,9 @@ class Segment:
             raise ValueError("not a token segment")
         at = HEAD.size
         self.doc_ids = np.frombuffer(payload, dtype="<i8", count=docs, offset=at)
-        self.ends = np.frombuffer(payload, dtype="<u8", count=docs, offset=at + 8 * docs).astype(np.int64)
-        at += 16 * docs
+        self.no_id = np.frombuffer(payload, dtype="?", count=docs, offset=at + 8 * docs)
+        self.ends = np.frombuffer(payload, dtype="<u8", count=docs, offset=at + 9 * docs).astype(np.int64)
+        at += 17 * docs
         blocks = -(-self.n // self.block)
         self.starts = np.frombuffer(payload, dtype="<u8", count=blocks + 1, offset=at).astype(np.int64)
         self.body = memoryview(payload)[at + 8 * (blocks + 1) :]
@@ -114,9 +114,10 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int = 1
     (file_no, segment, n_ids, payload), ascending by (file_no, segment) = by document id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep_caches=True)
         enc, end = encoder(vocabulary), struct.pack("<I", end_id)
         file_no, segment = TaskContext.get().partitionId(), 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         held: list[bytes] = []
         size = 0
 
@@ -130,7 +131,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int = 1
                     if held and size + len(ids) // 4 > segment_ids:
                         yield flush()
                         segment, keys, held, size = segment + 1, [], [], 0
-                    keys.append(NO_ID if key is None else key)
+                    keys.append(key)
                     held.append(ids)
                     size += len(ids) // 4
         if held:
@@ -155,6 +156,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     starts = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before_file, "file_no").select("file_no", "segment", (F.col("inside") + F.col("before")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for i in range(batch.num_rows):
                 seg = Segment(batch.column(2)[i].as_py())
@@ -167,7 +169,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                         low, high = int(b), int(min(seg.n, max(e, b + step)))
                         buffer = seg.read_ids(low, high).astype("<u4")
                     crcs.append(zlib.crc32(buffer[b - low : e - low].tobytes()))
-                key = pa.array(seg.doc_ids, pa.int64(), mask=seg.doc_ids == NO_ID)
+                key = pa.array(seg.doc_ids, pa.int64(), mask=seg.no_id)
                 same = np.ones(len(begins), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(same * batch.column(0)[i].as_py()), pa.array(same * batch.column(1)[i].as_py()), key, pa.array(begins), pa.array(seg.ends - begins), pa.array(crcs, pa.int64())], names=["file_no", "segment", "doc_id", "at", "n_tokens", "ids_crc32"])
 

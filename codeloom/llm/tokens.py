@@ -3,7 +3,8 @@
 The pre-tokenizers of both vocabularies never join a non-space character to a
 following space, so a text's ids are those of its pieces ``spaces + word``. Texts
 with the control characters U+001C to U+001F, of which Python and the tokenizer
-disagree whether they are spaces, are encoded whole.
+disagree whether they are spaces, are encoded whole; so are texts that may hold an
+added token of the vocabulary, such as an end mark, as the library finds those first.
 """
 
 from __future__ import annotations
@@ -48,14 +49,15 @@ class Encoder:
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None  # for words that normalisation would leave as they are
         for lib in (self.lib, self.bare):
-            lib.encode_special_tokens = True  # their strings in a text are ordinary text
             lib.model._resize_cache(0)  # words come to the library once: keeping them again costs more than it saves
+        added = self.lib.get_added_tokens_decoder().values()
+        self.marks = sorted({"" if t.normalized else t.content[:2] for t in added})  # how added tokens begin; "" is in every text
         vocabulary = self.lib.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>"))  # byte-level: a character for each byte
         self.tails: dict[str, bytes] = {}
-        self.cache = WordCache(self._fresh, 900_000)
+        self.cache = WordCache(self._fresh)
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
@@ -76,7 +78,7 @@ class Encoder:
         plain = [w for w, x in zip(words, stems, strict=True) if not x]
         new = [x for x in set(filter(None, stems)) if x not in cache and x not in cache.old]
         got = self._encoded(plain + new)
-        cache.update(zip(new, got[len(plain) :], strict=True))
+        cache.add(new, got[len(plain) :])
         rest = iter(got)
         return [cache[x] + tails[y] if x else next(rest) for x, y in zip(stems, ends, strict=True)]
 
@@ -116,7 +118,7 @@ class Encoder:
 
     def split(self, text: str | None) -> list[str] | None:
         """The words that make up the text's ids; None: to be encoded whole."""
-        if not text or any(c in text for c in _UNSURE):
+        if not text or any(c in text for c in _UNSURE) or any(m in text for m in self.marks):
             return None
         if self.drops_spaces:  # and lower-cases: in Latin-1 a character at a time
             words = text.lower().split() if _LATIN.fullmatch(text) else text.split()

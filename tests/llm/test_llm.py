@@ -69,6 +69,8 @@ def test_suffix_dedup(spark, hot):
     rows = fixture()
     got = Counter(tuple(r) for r in suffix_dedup.repeat_digests(docs(spark, rows), 50, hot=hot).collect())
     assert got == brute_repeats(rows, 50)
+    largest = rows + [((1 << 63) - 1, rows[0][1])]
+    assert Counter(tuple(r) for r in suffix_dedup.repeat_digests(docs(spark, largest).coalesce(1), 50, hot=hot).collect()) == brute_repeats(largest, 50)  # one shard
     left = suffix_dedup.remove_repeats(docs(spark, rows), 50).collect()
     assert sum(r["n_removed"] for r in left) == sum(k[2] * n for k, n in brute_repeats(rows, 50).items())
     assert suffix_dedup.repeat_digests(docs(spark, []), 50).count() == 0
@@ -90,6 +92,26 @@ def test_suffix_array_and_kasai():
         assert lcp[r] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
+def test_repeats_of_a_shard_by_its_suffix_array():
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n)).encode()
+    shared, run = text(400), b"z" * 300
+    texts = [text(200) + shared, shared[:120] + text(90), run, run + text(30) + run, text(20), b"", text(700) + shared[40:330] + text(60), shared + run, text(49), b"ab" * 200, b"ab" * 333]
+    ids = np.array([5, 3, 3, 9, 1, 2, 7, 7, 4, 6, 6])
+    first = {}
+    for i, t in zip(ids.tolist(), texts):
+        for a in range(len(t) - 49):
+            first[t[a : a + 50]] = min(first.get(t[a : a + 50], 99), i)
+    want = [a + 50 <= len(t) and first[t[a : a + 50]] < i for i, t in zip(ids.tolist(), texts) for a in range(len(t))]
+    assert suffix_dedup.repeats_in_shard(texts, ids, 50).tolist() == want
+
+
+def test_shards_merge_by_binary_search():
+    rng = random.Random(2)
+    lists = [np.array(sorted({rng.randrange(200) for _ in range(rng.randint(0, 60))}), dtype=np.int64) for _ in range(7)]
+    assert suffix_dedup.merge_sorted(list(lists)).tolist() == sorted({int(x) for v in lists for x in v})
+
+
 def test_ngram_join(spark):
     rows = fixture()
     for words, pct in ((4, 85), (5, 80)):
@@ -159,16 +181,35 @@ def test_words_with_tails(name, monkeypatch):
     monkeypatch.setattr(tokens, "MOST_TAILS", 5)
     monkeypatch.setattr(tokens, "TOGETHER", 300)
     lib = Tokenizer.from_file(tokenizer_path(name))
-    lib.encode_special_tokens = True
     e = Encoder(tokenizer_path(name))
     rng = random.Random(8)
     stems = ["it", "Été", "straße", "ÀÉ", "x1", "3", "ª", "жар", "日本", "don't", "e\u0301", "o'", "", "K", "İ"]
-    tails = ["", ",", "'s", "'", "!!", "'ll.", "...", "</w>", "<|endoftext|>", "=\u0338", "²", "\xa0", "-a", '"', "$$$"]
+    tails = ["", ",", "'s", "'", "!!", "'ll.", "...", "</w>", "<", "=\u0338", "²", "\xa0", "-a", '"', "$$$"]
     texts = [rng.choice(" \n").join(rng.choice(stems) + rng.choice(tails) for _ in range(rng.randint(1, 90))) for _ in range(400)]
     want = [np.array(x.ids, dtype="<u4").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
     assert e.encode_all(texts) == want and len(e.tails) <= len(tails)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_library_has_them(name):
+    from tokenizers import Tokenizer
+
+    lib, e = Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name))
+    texts = ["a <|endoftext|> b", "a<|endoftext|>", "<|startoftext|>x", "A <|ENDOFTEXT|> <| b", "plain words " * 40 + "<|endoftext|> and more", "", "< | endoftext |>"]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode_all(texts) == want and [e.whole(t) for t in texts] == want
+
+
+def test_word_cache_is_bounded_in_bytes():
+    from codeloom.llm._util import WordCache
+
+    cache = WordCache(lambda words: [w.upper() for w in words], 5000)
+    for k in range(200):
+        words = [f"w{k}", "often", f"w{k // 2}"]
+        assert cache.lookup(words) == [w.upper() for w in words]
+        assert cache.held <= 5000 + 3 * 220 and len(cache.old) <= 30
+
+
 def test_plan_is_no_worse_than_best_fit():
     rng = random.Random(6)
     for _ in range(200):
@@ -235,6 +276,9 @@ def test_token_files(spark):
     path = tokenizer_path("word_bpe_49k.json")
     rows = [r for r in fixture() if r[0] is not None]
     lib = Encoder(path)
+    odd = token_files.token_file_digests(docs(spark, [(None, "a b"), (-(1 << 63), "c"), ((1 << 63) - 1, "<|endoftext|>"), (None, None)]), path).collect()
+    assert Counter(r["doc_id"] for r in odd) == Counter([None, None, -(1 << 63), (1 << 63) - 1])
+    assert sorted(r["start"] for r in odd if r["doc_id"] is None)[0] == 0 and sum(r["n_tokens"] for r in odd) == 8
     got = sorted(tuple(r) for r in token_files.token_file_digests(docs(spark, rows), path).collect())
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: r[0]):
