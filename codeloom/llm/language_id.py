@@ -1,22 +1,28 @@
 """Language identification by prediction by partial matching.
 
-Per language a context tree of byte contexts of order 2, 1 and 0: a symbol seen
-after its context costs -log2(c / (n + d)); otherwise an escape, -log2(d / (n +
-d)), is paid and the next shorter context is asked (n symbols, d different ones;
-below order 0 all bytes are alike). With frozen statistics the cost of a byte is
-a function of the last three bytes, so code lengths are table look-ups, summed
-as integers (1/1024 bit): exact, and the same in whatever batches rows come. Each
-byte seen in training is a symbol of its own; those that no language has share
-one. Costs of the three-byte strings seen are listed; all others are an escape
-and the cost in the shorter context. Texts are compared in lower case.
+Per language a tree of byte contexts of up to ORDER bytes, over all 256 bytes. A byte
+that was seen after its longest known context costs -log2(c / (n + d)); otherwise an
+escape, -log2(d / (n + d)), is paid and the next shorter context is asked (n bytes, d
+different ones; below order 0 all 256 bytes are alike). With frozen statistics the
+cost of a byte follows from the byte and the ORDER ones before it, so code lengths
+are sums of table look-ups, in whole numbers of 1/1024 bit: exact for the trees, and
+the same in whatever batches rows come. Texts are compared in lower case, and begin
+after blanks.
 
 The trees are learned from a sample of labelled rows with a documented bound
-(``max_docs`` rows of each language, chosen by a hash of the id, whole texts);
-every other thing covers all rows.
+(``max_docs`` rows of each language, chosen by a hash of the id, whole texts), and
+have a bounded size: of the contexts of two bytes or more a language keeps those seen
+at least so often that each order has at most ``max_cells`` / languages strings
+(contexts that go are as if never seen). Every other thing covers all rows.
+
+Strings are listed for blocks of languages, sparse, with the cost in each language of
+the block; of a string that is not listed the escapes of its contexts are, so that
+one look-up serves a block wherever one of its languages knows the string.
 
 ``und`` (score 0) is given for null texts, texts without a letter, and where no
 labelled row exists. Equal code lengths go to the first language by name. A null
-id is never trained on and never held out. Extra columns are not read.
+id is never trained on and never held out. Repeated rows count each, very long texts
+are read whole, a piece at a time. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,145 +35,223 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._util import rows_of, tidy
+from codeloom.llm._util import checkpointed, rows_of, tidy
 
 UNIT = 1024  # of a bit
-CHUNK = 1 << 19
+ORDER = 4
+CHUNK = 1 << 18  # bytes scored at a time
+BLOCK = 8  # languages
+PAD = b" " * ORDER
+#: language -> for each order the strings (a byte longer than the order, as numbers) and how often they were seen
+Grams = dict[str, list[tuple[np.ndarray, np.ndarray]]]
+
+
+class CodeIndex:
+    """Where in a list of different numbers one stands: an open-addressed table, at most half full."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(4, int(len(codes) * 2).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.places = np.zeros(1 << self.bits, dtype=np.int32)
+        at, left = self._slot(codes), np.arange(len(codes))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[put]], self.places[at[put]] = codes[put], put
+            left = np.setdiff1d(left, put)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 for those that are not listed."""
+        at = self._slot(codes)
+        found = self.keys[at]
+        place = np.where(found == codes, self.places[at], -1)
+        on = np.flatnonzero((found != codes) & (found != -1))
+        while len(on):
+            at[on] = (at[on] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[at[on]]
+            hit = got == codes[on]
+            place[on[hit]] = self.places[at[on[hit]]]
+            on = on[~hit & (got != -1)]
+        return place
+
+
+class TreeBlock:
+    """The trees of up to BLOCK languages as tables, a column for each language."""
+
+    def __init__(self, trees: list[list[tuple[np.ndarray, np.ndarray]]]):
+        self.strings: list[CodeIndex] = []
+        self.costs: list[np.ndarray] = []
+        self.contexts: list[CodeIndex] = []
+        self.escapes: list[np.ndarray] = []
+        for order in range(ORDER + 1):
+            listed = np.unique(np.concatenate([t[order][0] for t in trees]))
+            known = np.unique(listed >> 8)
+            escape = np.zeros((len(known), len(trees)), dtype=np.int32)
+            hits = []
+            for k, tree in enumerate(trees):
+                codes, counts = tree[order]
+                by = np.argsort(codes, kind="stable")
+                codes, counts = codes[by], counts[by].astype(np.float64)
+                context, at = np.unique(codes >> 8, return_inverse=True)
+                n, d = np.bincount(at, weights=counts, minlength=len(context)), np.bincount(at, minlength=len(context))
+                escape[np.searchsorted(known, context), k] = np.round(-np.log2(d / (n + d)) * UNIT)
+                hits.append((np.searchsorted(listed, codes), np.round(-np.log2(counts / (n + d)[at]) * UNIT)))
+            self.contexts.append(CodeIndex(known))
+            self.escapes.append(escape)
+            cost = escape[np.searchsorted(known, listed >> 8)] + self._below(listed, order)
+            for k, (at, bits) in enumerate(hits):
+                cost[at, k] = bits
+            self.strings.append(CodeIndex(listed))
+            self.costs.append(cost)
+
+    def _below(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """Costs of the strings' last bytes in the contexts shorter than ``order``."""
+        if not order:
+            return np.full((len(codes), self.escapes[0].shape[1]), 8 * UNIT, dtype=np.int32)
+        return self.cost(codes & ((1 << (8 * order)) - 1), order - 1)
+
+    def cost(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """For strings of order + 1 bytes, the last byte's cost in each language."""
+        at = self.strings[order].find(codes)
+        out = self.costs[order][at] if len(self.costs[order]) else np.zeros((len(codes), self.escapes[order].shape[1]), dtype=np.int32)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            rest = codes[new]
+            context = self.contexts[order].find(rest >> 8)
+            out[new] = self._below(rest, order)
+            seen = context >= 0
+            out[new[seen]] += self.escapes[order][context[seen]]
+        return out
 
 
 @dataclass
 class ContextTrees:
-    """Frozen statistics: ``classes`` maps bytes to symbol classes, ``slot`` has a number for
-    each three classes, 0 where no language has them. ``cost`` has a row for each slot,
-    ``escape`` (bits) for the two classes before, ``shorter`` for the last two; columns are languages."""
+    """Frozen statistics of all languages, in blocks."""
 
     langs: list[str]
-    classes: np.ndarray
-    slot: np.ndarray
-    cost: np.ndarray
-    escape: np.ndarray
-    shorter: np.ndarray
-    size: int
+    blocks: list[TreeBlock]
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """In 1/1024 bit, for each text and language."""
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        flat = np.frombuffer(b"".join(x for t in texts for x in (b"  ", t)), dtype=np.uint8)
-        owner_end = np.cumsum(lens + 2)
+        flat = np.frombuffer(b"".join(x for t in texts for x in (PAD, t)), dtype=np.uint8)
+        owner_end = np.cumsum(lens + ORDER)
         for a in range(0, len(flat), CHUNK):
             b = min(len(flat), a + CHUNK)
-            low = max(0, a - 2)
-            c = self.classes[flat[low:b]]
-            index = np.zeros(b - low, dtype=np.int32)
-            index[2:] = (c[:-2] * self.size + c[1:-1]) * self.size + c[2:]
-            index = index[a - low :]
-            slot = self.slot[index]
-            cost = self.cost[slot]
-            new = np.flatnonzero(slot == 0)
-            cost[new] = np.round((self.escape[index[new] // self.size] + self.shorter[index[new] % self.size**2]) * UNIT)
+            low = max(0, a - ORDER)
+            c = np.r_[np.zeros(ORDER - (a - low), dtype=np.int64), flat[low:b].astype(np.int64)]
+            codes = np.zeros(b - a, dtype=np.int64)
+            for k in range(ORDER + 1):
+                codes = (codes << 8) | c[k : k + b - a]
             first = int(np.searchsorted(owner_end, a, side="right"))
             last = int(np.searchsorted(owner_end, b - 1, side="right"))
-            starts = np.r_[a, owner_end[first:last]]
-            begins = np.r_[0, owner_end[:-1]][first : last + 1]
-            for skip in (0, 1):  # the two bytes in front of each text only give context
-                at = begins + skip - a
-                cost[at[(at >= 0) & (at < b - a)]] = 0
-            out[first : last + 1] += np.add.reduceat(cost, starts - a, axis=0, dtype=np.int64)
+            starts = np.r_[a, owner_end[first:last]] - a
+            begins = np.r_[0, owner_end[:-1]][first : last + 1] - a
+            pad = (begins[:, None] + np.arange(ORDER)[None, :]).ravel()  # the bytes in front of each text only give context
+            pad = pad[(pad >= 0) & (pad < b - a)]
+            for no, block in enumerate(self.blocks):
+                cost = block.cost(codes)
+                cost[pad] = 0
+                out[first : last + 1, no * BLOCK : (no + 1) * BLOCK] += np.add.reduceat(cost, starts, axis=0, dtype=np.int64)
         return out
 
 
-def learn(grams: dict[str, tuple[np.ndarray, np.ndarray]], classes_kept: int = 256) -> ContextTrees:
-    """From each language's three-byte strings (24-bit codes) and their counts."""
+def learn(grams: Grams) -> ContextTrees:
+    """Tables from each language's strings and their counts."""
     langs = sorted(grams)
-    seen = np.zeros(256)
-    for codes, counts in grams.values():
-        seen += np.bincount(codes & 255, weights=counts, minlength=256)
-    common = np.argsort(-seen, kind="stable")[:classes_kept]
-    common = common[seen[common] > 0]
-    size = len(common) + 1
-    classes = np.full(256, size - 1, dtype=np.int32)
-    classes[common] = np.arange(len(common))
-    threes = {}
-    for lang, (codes, counts) in grams.items():
-        c = [classes[(codes >> s) & 255].astype(np.int64) for s in (16, 8, 0)]
-        three, at = np.unique((c[0] * size + c[1]) * size + c[2], return_inverse=True)
-        threes[lang] = three, np.bincount(at, weights=counts)
-    listed = np.unique(np.concatenate([t for t, _ in threes.values()]))
-    slot = np.zeros(size**3, dtype=np.int32)
-    slot[listed] = np.arange(1, len(listed) + 1)
-    table = np.zeros((len(listed) + 1, len(langs)), dtype=np.int32)
-    escapes, shorters = np.zeros((size * size, len(langs))), np.zeros((size * size, len(langs)))
-    for k, lang in enumerate(langs):
-        three, counts = threes[lang]
-        cost = np.full(size, np.log2(size))
-        for stats in (np.bincount(three % size, weights=counts, minlength=size)[None, :], np.bincount(three % size**2, weights=counts, minlength=size**2).reshape(size, size)):
-            n, d = stats.sum(axis=1, keepdims=True), (stats > 0).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
-                hit = -np.log2(stats / (n + d))
-            cost = np.where(stats > 0, hit, escape + cost.reshape(1, -1))
-        shorters[:, k] = cost.reshape(-1)
-        n, d = np.bincount(three // size, weights=counts, minlength=size**2), np.bincount(three // size, minlength=size**2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escapes[:, k] = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
-        bits = escapes[listed // size, k] + shorters[listed % size**2, k]
-        bits[slot[three] - 1] = -np.log2(counts / (n + d)[three // size])
-        table[1:, k] = np.round(bits * UNIT)
-    return ContextTrees(langs, classes, slot, table, escapes, shorters, size)
+    return ContextTrees(langs, [TreeBlock([grams[x] for x in langs[a : a + BLOCK]]) for a in range(0, len(langs), BLOCK)])
+
+
+def count_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Different strings of ORDER + 1 bytes that end in a text, as numbers, and their
+    counts. Each text stands after blanks."""
+    flat = np.frombuffer(b"".join(x for t in texts for x in (PAD, t)), dtype=np.uint8).astype(np.int64)
+    n = max(0, len(flat) - ORDER)
+    codes = np.zeros(n, dtype=np.int64)
+    for k in range(ORDER + 1):
+        codes = (codes << 8) | flat[k : k + n]
+    inside = np.ones(len(flat), dtype=bool)
+    lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + ORDER
+    inside[((np.cumsum(lens) - lens)[:, None] + np.arange(ORDER)[None, :]).ravel()] = False
+    return np.unique(codes[inside[ORDER:]], return_counts=True)
 
 
 def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, seed: int = 7) -> ContextTrees | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, max_cells: int = 1 << 20, seed: int = 7) -> ContextTrees | None:
     """Context trees from the labelled rows of ``df``, at most about ``max_docs`` of each
-    language. The counts that reach the driver are bounded by the three-byte strings."""
-    rows = df.selectExpr(f"CAST(`{id_col}` AS STRING) AS id", f"`{lang_col}` AS lang", f"`{text_col}` AS text").filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
+    language. What reaches the driver, and the trees that are sent out, hold at most
+    ``max_cells`` strings for each order but the two lowest, which have at most 65,792
+    for each language."""
+    rows = df.selectExpr(f"CAST(`{id_col}` AS STRING) AS id", f"CAST(`{lang_col}` AS STRING) AS lang", f"CAST(`{text_col}` AS STRING) AS text").filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    share = {k: min(1.0, max_docs / n) for k, n in sizes.items()}
     cut: Column = F.lit(0.0)
-    for k, v in sorted(share.items()):
-        cut = F.when(F.col("lang") == k, F.lit(v)).otherwise(cut)
+    for k, n in sorted(sizes.items()):
+        cut = F.when(F.col("lang") == k, F.lit(min(1.0, max_docs / n))).otherwise(cut)
     picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < cut * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
             """Distinct codes and counts of what is held, as the only thing held from now on."""
             codes, n = (np.concatenate(x) for x in zip(*held[lang], strict=True))
             codes, at = np.unique(codes, return_inverse=True)
-            held[lang] = [(codes, np.bincount(at, weights=n).astype(np.int64))]
+            held[lang] = [(codes, np.bincount(at, weights=n, minlength=len(codes)).astype(np.int64))]
             return held[lang][0]
 
         for batch in batches:
             for langs, texts in rows_of(batch, 1 << 20):
                 for lang in dict.fromkeys(langs):
-                    joined = b"  ".join([b"", *(_bytes(t) for t, k in zip(texts, langs, strict=True) if k == lang)])
-                    b = np.frombuffer(joined, dtype=np.uint8).astype(np.int32)
-                    if len(b) > 2:
-                        held.setdefault(lang, []).append(np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:], return_counts=True))
-                        if len(held[lang]) > 16:
-                            merged(lang)
-        for lang in held:
+                    held.setdefault(lang, []).append(count_strings([_bytes(t) for t, k in zip(texts, langs, strict=True) if k == lang]))
+                    if len(held[lang]) > 8:
+                        merged(lang)
+        for lang in list(held):
             codes, n = merged(lang)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+            del held[lang]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
 
-    counted = picked.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    grams = {lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in counted.groupby("lang")}
+    longest = picked.mapInArrow(count, "lang string, code long, n long")
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col("code").bitwiseAND(F.lit((1 << (8 * o + 8)) - 1)).alias("code")) for o in range(ORDER + 1)]))
+    strings = longest.select("lang", each.alias("s"), "n").groupBy("lang", "s.o", "s.code").agg(F.sum("n").alias("n"))
+    strings = checkpointed(strings.withColumn("context", F.shiftright("code", 8)))
+    contexts = strings.groupBy("lang", "o", "context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("d"))
+    often = contexts.filter("o >= 2").groupBy("lang", "o", F.least(F.col("seen"), F.lit(1 << 16)).alias("seen")).agg(F.sum("d").alias("d"))  # at most 65,536 rows for each language and order
+    least = {(lang, o): _least_seen(g, max_cells // len(sizes)) for (lang, o), g in often.toPandas().groupby(["lang", "o"])}
+    kept = contexts
+    for (lang, o), n in least.items():
+        if n > 1:
+            kept = kept.filter(~((F.col("lang") == lang) & (F.col("o") == o) & (F.col("seen") < n)))
+    pdf = strings.join(kept.select("lang", "o", "context"), ["lang", "o", "context"], "left_semi").select("lang", "o", "code", "n").toPandas()
+    none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    grams: Grams = {lang: [none] * (ORDER + 1) for lang in pdf["lang"].unique()}
+    for (lang, o), g in pdf.groupby(["lang", "o"]):
+        grams[lang][o] = (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.int64))
     return learn(grams) if grams else None
 
 
+def _least_seen(contexts, most: int) -> int:
+    """How often contexts (seen, d: their strings) must be seen for ``most`` strings at most."""
+    by = contexts.sort_values("seen", ascending=False)
+    fits = by["d"].cumsum() <= most
+    return 1 if fits.all() else int(by["seen"][fits].min()) if fits.any() else 1 << 62
+
+
 def identify(df: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, carried columns, lang_pred, score, bits_per_byte). The score is the best
     language's posterior under equal priors."""
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(trees)  # classes ** 3 numbers, and costs of the strings seen
+    sent = spark.sparkContext.broadcast(trees)  # bounded by max_cells
     names = [f"c{k}" for k in range(len(carry))]
     source = df.select(F.col(id_col).alias("id"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text_col).alias("text"))
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}

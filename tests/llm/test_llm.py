@@ -355,38 +355,71 @@ def test_language_id(spark):
     assert language_id.identify(docs(spark, [(1, "a")]), None).first()["lang_pred"] == "und"
 
 
-def test_code_lengths_by_brute_force():
-    data = {"x": b"abracadabra abra", "y": b"zyzzyva zyz"}
-    grams = {}
-    for k, b in data.items():
-        c = Counter((b[i] << 16) | (b[i + 1] << 8) | b[i + 2] for i in range(len(b) - 2))
-        grams[k] = (np.array(list(c)), np.array(list(c.values()), dtype=float))
-    m = language_id.learn(grams, 200)
-    text = b"abra zyz abracadabra"
-    want = []
-    for k, b in data.items():
-        orders = [Counter(b[i + 2 - o : i + 3] for i in range(len(b) - 2)) for o in range(3)]
-        total = 0.0
-        padded = b"  " + text
-        for i in range(2, len(padded)):
-            cost = None
-            for o in (2, 1, 0):
-                ctx = padded[i - o : i]
-                stats = {g[-1]: n for g, n in orders[o].items() if g[:-1] == ctx}
-                n, d = sum(stats.values()), len(stats)
-                if padded[i] in stats:
-                    total += -np.log2(stats[padded[i]] / (n + d))
+SCRIPTS = {"x": "abracadabra abra", "y": "zyzzyva zyz zyzzyva", "ru": "жили были дед да баба и была у них курочка", "el": "ένα δύο τρία τέσσερα πέντε", "zh": "学而时习之不亦说乎有朋自远方来", "he": "שלום עולם שלום"}
+
+
+def strings_of(texts):
+    out = []
+    for o in range(language_id.ORDER + 1):
+        c = Counter(int.from_bytes((language_id.PAD + t)[i - o : i + 1], "big") for t in texts for i in range(language_id.ORDER, language_id.ORDER + len(t)))
+        out.append((np.array(list(c), dtype=np.int64), np.array(list(c.values()), dtype=np.int64)))
+    return out
+
+
+def brute_code_length(texts, text):
+    """Of ``text`` after blanks, by the trees of ``texts``, in bits."""
+    order = language_id.ORDER
+    stats = [defaultdict(Counter) for _ in range(order + 1)]
+    for t in texts:
+        data = language_id.PAD + t
+        for i in range(order, len(data)):
+            for o in range(order + 1):
+                stats[o][data[i - o : i]][data[i]] += 1
+    total, padded = 0.0, language_id.PAD + text
+    for i in range(order, len(padded)):
+        for o in range(order, -1, -1):
+            seen = stats[o].get(padded[i - o : i])
+            if seen:
+                n, d = sum(seen.values()), len(seen)
+                if padded[i] in seen:
+                    total -= np.log2(seen[padded[i]] / (n + d))
                     break
-                total += -np.log2(d / (n + d)) if n else 0
-            else:
-                total += np.log2(m.size)
-        want.append(total)
-    assert np.allclose(m.code_lengths([text])[0] / language_id.UNIT, want, atol=0.05)
-    old, language_id.CHUNK = language_id.CHUNK, 7
-    try:
-        assert (m.code_lengths([text, b"", text])[[0, 2]] == m.code_lengths([text])[0]).all()
-    finally:
-        language_id.CHUNK = old
+                total -= np.log2(d / (n + d))
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_by_brute_force(monkeypatch):
+    data = {k: [t.encode()] for k, t in SCRIPTS.items()}
+    texts = [b"abra zyz abracadabra", "была баба курочка abra".encode(), "有朋 δύο שלום".encode(), bytes(range(1, 250)), b"", b"z"]
+    for block in (8, 4):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        m = language_id.learn({k: strings_of(b) for k, b in data.items()})
+        got = m.code_lengths(texts)
+        want = [[brute_code_length(data[k], t) for k in m.langs] for t in texts]
+        assert np.allclose(got / language_id.UNIT, want, atol=0.5)  # each byte is rounded
+        assert [m.langs[i] for i in got[:2].argmin(axis=1)] == ["x", "ru"]
+        for chunk in (7, 3):
+            monkeypatch.setattr(language_id, "CHUNK", chunk)
+            assert (m.code_lengths(texts) == got).all()
+        monkeypatch.setattr(language_id, "CHUNK", 1 << 18)
+
+
+def test_trees_from_a_table(spark, monkeypatch):
+    rows = [(k, t, lang, "s", 0, 7, "k", 1) for lang, t in SCRIPTS.items() for k in range(3)]
+    long = "дед да баба " * 60_000
+    table = spark.createDataFrame([*rows, (9, None, "x", "s", 0, 7, "k", 1), (None, "x", "x", "s", 0, 7, "k", 1), (8, "x", None, "s", 0, 7, "k", 1)], DOCS)
+    m = language_id.train(table)
+    data = {k: [t.encode()] * 3 for k, t in SCRIPTS.items()}
+    assert m.langs == sorted(SCRIPTS)
+    texts = ["курочка zyz".encode(), "学而 τρία".encode()]
+    assert np.allclose(m.code_lengths(texts) / language_id.UNIT, [[brute_code_length(data[k], t) for k in m.langs] for t in texts], atol=0.5)
+    asked = [(1, long), (1, "שלום עולם"), (1, "שלום עולם"), (None, "zyz zyzzyva"), (2, None), (3, ""), (4, "7 !")]
+    got = language_id.identify(docs(spark, asked), m, carry=("id",)).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got) == Counter([(1, "ru"), (1, "he"), (1, "he"), (None, "y"), (2, "und"), (3, "und"), (4, "und")])
+    small = language_id.train(table, max_cells=6 * 20)  # contexts that were seen seldom go
+    assert all(len(c.costs[o]) <= 6 * 20 for c in small.blocks for o in range(2, language_id.ORDER + 1))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -457,12 +490,7 @@ def test_pipeline_drops_repeated_lines_of_a_source(spark):
 def test_small_languages_keep_their_bytes():
     rng = random.Random(3)
     data = {"big": bytes(rng.randrange(128) for _ in range(20_000)), "p": bytes(rng.randrange(192, 208) for _ in range(300)), "q": bytes(rng.randrange(208, 224) for _ in range(300))}
-    grams = {}
-    for k, b in data.items():
-        c = Counter((b[i] << 16) | (b[i + 1] << 8) | b[i + 2] for i in range(len(b) - 2))
-        grams[k] = (np.array(list(c)), np.array(list(c.values()), dtype=float))
-    m = language_id.learn(grams)
-    assert len({int(m.classes[x]) for b in data.values() for x in b}) == len({x for b in data.values() for x in b})
+    m = language_id.learn({k: strings_of([b]) for k, b in data.items()})
     cost = m.code_lengths([data["p"][:60], data["q"][:60]])
     assert cost.argmin(axis=1).tolist() == [m.langs.index("p"), m.langs.index("q")]
     assert cost[0, m.langs.index("q")] > 60 * 4 * language_id.UNIT > cost[0, m.langs.index("p")]
