@@ -52,6 +52,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written for steps that are done."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle of this session gets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
