@@ -185,7 +185,7 @@ def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, max_cells: int = 1 << 20, seed: int = 7) -> ContextTrees | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, max_cells: int = 1 << 18, seed: int = 7) -> ContextTrees | None:
     """Context trees from the labelled rows of ``df``, at most about ``max_docs`` of each
     language. What reaches the driver, and the trees that are sent out, hold at most
     ``max_cells`` strings for each order but the two lowest, which have at most 65,792
@@ -227,16 +227,22 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     strings = checkpointed(strings.withColumn("context", F.shiftright("code", 8)))
     contexts = strings.groupBy("lang", "o", "context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("d"))
     often = contexts.filter("o >= 2").groupBy("lang", "o", F.least(F.col("seen"), F.lit(1 << 16)).alias("seen")).agg(F.sum("d").alias("d"))  # at most 65,536 rows for each language and order
-    least = {(lang, o): _least_seen(g, max_cells // len(sizes)) for (lang, o), g in often.toPandas().groupby(["lang", "o"])}
+    least = {(lang, o): _least_seen(g, max_cells // len(sizes)) for (lang, o), g in often.toArrow().to_pandas().groupby(["lang", "o"])}
     kept = contexts
     for (lang, o), n in least.items():
         if n > 1:
             kept = kept.filter(~((F.col("lang") == lang) & (F.col("o") == o) & (F.col("seen") < n)))
-    pdf = strings.join(kept.select("lang", "o", "context"), ["lang", "o", "context"], "left_semi").select("lang", "o", "code", "n").toPandas()
-    none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    grams: Grams = {lang: [none] * (ORDER + 1) for lang in pdf["lang"].unique()}
-    for (lang, o), g in pdf.groupby(["lang", "o"]):
-        grams[lang][o] = (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.int64))
+    names = sorted(sizes)
+    number = F.lit(-1)
+    for k, lang in enumerate(names):
+        number = F.when(F.col("lang") == lang, F.lit(k)).otherwise(number)
+    got = strings.join(kept.select("lang", "o", "context"), ["lang", "o", "context"], "left_semi").select((number * (ORDER + 1) + F.col("o")).alias("tree"), "code", "n").toArrow()
+    tree, code, n = (got.column(c).to_numpy() for c in ("tree", "code", "n"))
+    grams: Grams = {}
+    for k, lang in enumerate(names):
+        at = [tree == k * (ORDER + 1) + o for o in range(ORDER + 1)]
+        if at[0].any():
+            grams[lang] = [(code[x], n[x]) for x in at]
     return learn(grams) if grams else None
 
 
