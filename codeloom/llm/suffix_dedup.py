@@ -62,6 +62,7 @@ HOT = 8_192  # occurrences from which an anchor's strings are sent one by one
 BATCH = 1 << 13  # contexts in one suffix array
 POWER = 0x9E3779B97F4A7C15
 SYMBOLS = 7  # of 9 bits in a first rank
+KEYS = 1 << 16  # first ranks made at a time
 
 
 @lru_cache(maxsize=1)
@@ -159,6 +160,33 @@ def suffix_array(symbols: np.ndarray, room: np.ndarray, longest: int) -> np.ndar
     return _refined(symbols, room, longest)[0]
 
 
+def _first_keys(symbols: np.ndarray, room: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """For each place a number that is ordered as its first symbols are, and how many these are.
+    Without ``room`` the symbols are digits of a base that just holds the different ones."""
+    n = len(symbols)
+    key = np.zeros(n, dtype=np.int64)
+    if room is not None:
+        padded = np.r_[symbols.astype(np.int64), np.zeros(SYMBOLS, dtype=np.int64)]
+        for k in range(SYMBOLS):
+            key = (key << 9) | np.where(room > k, padded[k : k + n], 0)
+        return key, SYMBOLS
+    present = np.bincount(symbols, minlength=1) > 0
+    base = max(2, int(present.sum()))
+    many = 1
+    while base ** (many + 1) < 1 << 63:
+        many += 1
+    digits = np.r_[(np.cumsum(present) - 1).astype(np.int16)[symbols], np.zeros(many, dtype=np.int16)]
+    for a in range(0, n, KEYS):
+        some = digits[a : a + KEYS + many].astype(np.int64)
+        m = min(KEYS, n - a)
+        at = some[:m].copy()
+        for k in range(1, many):
+            at *= base
+            at += some[k : k + m]
+        key[a : a + m] = at
+    return key, many
+
+
 def _refined(symbols: np.ndarray, room: np.ndarray | None, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(order of all suffixes, where in it those stand that may share ``longest`` symbols
     with another). Without ``room`` the strings end with the symbol 0, what follows it
@@ -166,12 +194,7 @@ def _refined(symbols: np.ndarray, room: np.ndarray | None, longest: int) -> tupl
     ranks are single; with it, for as many symbols as the longest string has."""
     n = len(symbols)
     kind = "stable" if room is not None else "quicksort"
-    padded = np.r_[symbols.astype(np.int64), np.zeros(SYMBOLS, dtype=np.int64)]
-    key = np.zeros(n, dtype=np.int64)
-    for k in range(SYMBOLS):
-        key <<= 9
-        key |= padded[k : k + n] if room is None else np.where(room > k, padded[k : k + n], 0)
-    del padded
+    key, depth = _first_keys(symbols, room)
     order = np.argsort(key, kind=kind).astype(np.int32)
     rank = np.empty(n, dtype=np.int32)
 
@@ -189,7 +212,7 @@ def _refined(symbols: np.ndarray, room: np.ndarray | None, longest: int) -> tupl
     at = np.arange(n, dtype=np.int32)
     at = at[rerank(order, key[order], at)]
     del key
-    depth, last = SYMBOLS, at
+    last = at
     while len(at) and (depth < longest or room is None):
         last = at if depth < longest else last
         places = order[at]
@@ -499,7 +522,7 @@ def _contexts(shards: DataFrame, length: int, buckets: int) -> DataFrame:
             m = len(sent)
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array([x[0] for x in sent], pa.int32()), pa.array([_z(x[1].tobytes()) for x in sent], pa.binary()), pa.array([_z(x[2]) for x in sent], pa.binary())], names=["shard", "bucket", "data", "least"])
 
-    return shards.select("shard", "least", "ends", "body", "repeats", "copies", "wanted").mapInArrow(run, "shard long, bucket int, data binary, least binary")
+    return shards.mapInArrow(run, "shard long, bucket int, data binary, least binary")  # all columns, as the last step reads the same exchange
 
 
 def merge_sorted(lists: list[np.ndarray]) -> np.ndarray:
