@@ -344,6 +344,27 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("host")).count() == 0
 
 
+def test_line_dedup_with_a_large_table_of_lines(spark, monkeypatch):
+    rows = [(k, f"h{k % 3}" if k % 4 else None, f"menu {k % 3}\nown {k}\nmenu {k % 3} \n" + "long line " * (5000 if k == 7 else 0)) for k in range(60)] + [(5, "h2", "menu 2\nown 5\nmenu 2 \n")]
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    want = Counter(tuple(r) for r in line_dedup.drop_boilerplate(df, F.col("host")).collect())
+    assert sum(r[4] for r in want.elements()) == 2 * 61
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    assert Counter(tuple(r) for r in line_dedup.drop_boilerplate(df, F.col("host")).collect()) == want
+    with pytest.raises(ValueError):
+        line_dedup.drop_boilerplate(df.withColumn("_ld_x", F.lit(1)), F.col("host"))
+
+
+def test_page_lines_of_odd_pages(spark):
+    page = "<html><script>var x = '<p>no</p>';</script><!-- no --><p>menu</p><STYLE>p {}</STYLE><p>own {}</p></html>"
+    rows = [(k, "http://a.b/x", page.replace("{}", str(k)), 1) for k in range(6)] + [(6, None, page, 1), (7, "http://a.b/y", None, 1), (7, "http://a.b/y", None, 1), (8, "no address", "", 1), (None, "http://u@A.B:80/z", "<p>menu</p>", 1), (9, "http://a.b/z", "<p>word</p>" * 50_000, 1)]
+    got = line_dedup.page_lines(spark.createDataFrame(rows, "page_id long, url string, html string, host int")).collect()
+    assert len(got) == len(rows)
+    by = {r["page_id"]: (r["host"], r["n_lines"], r["n_removed"]) for r in got}
+    assert by[0] == ("a.b", 2, 1) and by[6] == (None, 2, 0) and by[7] == ("a.b", 0, 0) and by[8] == (None, 0, 0) and by[None] == ("a.b", 1, 1) and by[9] == ("a.b", 50_000, 0)
+    assert line_dedup.page_lines(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_language_id(spark):
     table = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
     trees = language_id.train(table.filter(~language_id.held_out()))
