@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._util import NULL_ID, checkpointed, rows_of, tidy, width
 
 GRAM = 24
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20  # of all documents, for each range of anchors
 LANE = 256  # places that one lane of Kasai's pass goes through
 PIECE = 1 << 19  # bytes hashed at a time
