@@ -112,8 +112,8 @@ def test_shards_merge_by_binary_search():
     assert suffix_dedup.merge_sorted(list(lists)).tolist() == sorted({int(x) for v in lists for x in v})
 
 
-def test_ngram_join(spark):
-    rows = fixture()
+def test_ngram_join(spark, monkeypatch):
+    rows = [*fixture(), ((1 << 63) - 1, "only the largest id has these words of its own"), (None, "only a null id has these other words of its own")]
     for words, pct in ((4, 85), (5, 80)):
         sets = [frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []) for w in (word_list(t) for _, t in rows)]
         key = [(1 << 63) - 1 if i is None else i for i, _ in rows]
@@ -126,13 +126,14 @@ def test_ngram_join(spark):
         least = defaultdict(lambda: 1 << 64)
         for c, k in zip(comp, key):
             least[c] = min(least[c], k)
-        want = Counter((i, len(s), None if least[c] == (1 << 63) - 1 else least[c]) for (i, _), s, c in zip(rows, sets, comp))
-        for small in (1, 48):  # with and without the way for large groups
-            old, ngram_join.SMALL_BUCKET = ngram_join.SMALL_BUCKET, small
-            try:
+        real = {c: max((i for (i, _), d in zip(rows, comp) if d == c and i is not None), default=None) for c in comp}
+        want = Counter((i, len(s), real[c] if least[c] == (1 << 63) - 1 else least[c]) for (i, _), s, c in zip(rows, sets, comp))
+        for small, large, block in ((48, 1024, 2048), (1, 1024, 2048), (1, 2, 3)):  # without and with groups, and with representatives and blocks
+            with monkeypatch.context() as m:
+                m.setattr(ngram_join, "SMALL_BUCKET", small)
+                m.setattr(ngram_join, "LARGE", large)
+                m.setattr(ngram_join, "BLOCK", block)
                 assert Counter(tuple(r) for r in ngram_join.jaccard_components(docs(spark, rows), words, pct).collect()) == want
-            finally:
-                ngram_join.SMALL_BUCKET = old
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
 
 
