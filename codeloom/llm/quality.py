@@ -4,13 +4,19 @@ Each text's counts are higher-order functions over its words. The thresholds
 come from mergeable quantile sketches for each (language, source): log-linear
 histograms (64 steps for each doubling, so a quantile is off by 1/64 at most)
 that are sums of counts, so that partial ones from any tasks add up, and those
-of small groups are merged into their language's and then into the corpus's.
-A document's ratios must lie within fences of ``k`` interquartile ranges around
-its group's quartiles; the group's thresholds are joined to its documents.
+of groups under ``min_docs`` documents are merged into their language's, and then into
+the corpus's. A document's ratios must lie within fences ``k`` spreads beyond a high
+quantile of its group, the spread being that quantile less the median; word length has
+a fence below as well. Nothing is fixed in the ratios' own units. Which quantile is a
+rule's parameter (QUANTILES): characters that are no words and word lengths go by the
+tenth of a group's documents that is most unusual, repetition, of which texts such as
+lists rightly have some, by the hundredth. A value in the same step of the sketch as
+the quantile is never beyond it. The thresholds are joined to the documents.
 
 Null and empty texts have no words and fail the base rules. Null languages and
-sources are groups of their own. Repeated rows count each. Extra columns are not
-read. An empty table gives no row.
+sources are groups of their own. Repeated rows count each. Words, windows and lines are
+compared as they are, in texts of any length. Extra columns are not read. An empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -23,17 +29,31 @@ from codeloom.llm._util import checkpointed
 BLANKS = "[\\x20\\x09-\\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-POSITION_BITS = 24
-#: metric -> (two-sided, least interquartile range), all in integers
-METRICS = {"word_len": (True, 60), "symbols": (False, 20), "dup_lines": (False, 170), "repeats": (False, 100)}
+#: metric -> (the quantile in percent from which its high fence goes up, whether it has a low fence at the other end)
+QUANTILES = {"word_len": (90, True), "symbols": (90, False), "dup_lines": (99, False), "repeats": (99, False)}
+METRICS = list(QUANTILES)
 
 
-def _same(x: Column, y: Column, w: Column) -> Column:
-    """Whether two packed windows are of equal words: equal hash bits, then the words."""
-    mask = F.lit((1 << POSITION_BITS) - 1)
-    px, py = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-    words = [F.get(w, px + k) == F.get(w, py + k) for k in range(3)]
-    return F.coalesce((F.shiftright(x, POSITION_BITS) == F.shiftright(y, POSITION_BITS)) & words[0] & words[1] & words[2], F.lit(False))
+def _window_hash(w: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
+
+def _repeated_starts(w: Column, sorted_windows: Column, bits: Column) -> Column:
+    """Places of 3-word windows that are found twice or more. ``sorted_windows`` are numbers of
+    a window's hash, and its place in the lowest ``bits``: windows of one hash are neighbours.
+    If any two neighbours of one hash differ, the windows' words are sorted themselves."""
+    s = sorted_windows
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    place = lambda x: x.bitwiseAND(mask).cast("int")
+    head = lambda x: F.call_function("shiftright", x, bits)
+    like = lambda x, y: F.coalesce(head(x) == head(y), F.lit(False))
+    differ = lambda x, y: F.coalesce(~((F.get(w, place(x)) == F.get(w, place(y))) & (F.get(w, place(x) + 1) == F.get(w, place(y) + 1)) & (F.get(w, place(x) + 2) == F.get(w, place(y) + 2))), F.lit(False))
+    clash = F.exists(F.sequence(F.lit(0), F.size(s) - 1), lambda i: like(F.get(s, i), F.get(s, i + 1)) & differ(F.get(s, i), F.get(s, i + 1)))
+    again = F.filter(s, lambda x, i: like(x, F.get(s, i - 1)) | like(x, F.get(s, i + 1)))
+    windows = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))))
+    equal = lambda x, y: F.coalesce(x["t"] == y["t"], F.lit(False))
+    exact = F.filter(windows, lambda x, i: equal(x, F.get(windows, i - 1)) | equal(x, F.get(windows, i + 1)))
+    return F.when(F.size(s) == 0, F.array().cast("array<int>")).when(clash, F.array_sort(F.transform(exact, lambda x: x["i"]))).otherwise(F.array_sort(F.transform(again, place)))
 
 
 def _covered(starts: Column) -> Column:
@@ -58,22 +78,14 @@ def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
     n = F.size("_w")
     w = F.col("_w")
-    window_hash = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(window_hash(i), POSITION_BITS).bitwiseOR(i.cast("long")))
+    bits = F.length(F.bin(n))
+    packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", _window_hash(w, i), bits).bitwiseOR(i.cast("long")))
     b = a.select(
         *rest, "word_chars", "n_symbols", w, n.cast("long").alias("n_words"), F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when((n >= 3) & (n < (1 << POSITION_BITS)), F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")).alias("_s"),
-        # longer texts than the packed positions hold: windows with their places as structs
-        F.when(n >= (1 << POSITION_BITS), F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(window_hash(i).alias("h"), i.alias("i"))))).alias("_long"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), bits.alias("_bits"),
+        F.when(n >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")).alias("_s"),
     )
-    s, g = F.col("_s"), F.col("_long")
-    # Neighbours at distance 2 too, as windows of other words with the same hash bits may lie between.
-    again = F.filter(s, lambda x, i: _same(x, F.get(s, i - 1), w) | _same(x, F.get(s, i + 1), w) | _same(x, F.get(s, i - 2), w) | _same(x, F.get(s, i + 2), w))
-    starts = F.array_sort(F.transform(again, lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")))
-    again_long = F.filter(g, lambda x, i: F.coalesce(F.get(g, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(g, i + 1)["h"] == x["h"], F.lit(False)))
-    starts = F.when(F.col("_long").isNotNull(), F.array_sort(F.transform(again_long, lambda x: x["i"]))).otherwise(starts)
-    c = b.select(*rest, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", starts.alias("_starts"))
+    c = b.select(*rest, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _repeated_starts(w, F.col("_s"), F.col("_bits")).alias("_starts"))
     return c.select(*rest, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _covered(F.col("_starts")).alias("n_repeat_words"))
 
 
@@ -97,14 +109,13 @@ def thresholds(sketches: DataFrame, k: int = 3, min_docs: int = 50) -> DataFrame
     merged = sketches.withColumn("g", levels).groupBy("g.level", "g.l", "g.s", "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("level", "l", "s", "metric")
     ranked = merged.withColumns({"up_to": F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(group)})
-    at = lambda q: F.min(F.when(F.col("up_to") * 4 >= F.col("all") * q, F.col("bucket")))
-    quart = ranked.groupBy("level", "l", "s", "metric").agg(F.max("all").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
-    least = F.lit(0)
-    for m, (_, iqr) in METRICS.items():
-        least = F.when(F.col("metric") == m, F.lit(iqr)).otherwise(least)
-    step = k * F.greatest(F.col("q3") - F.col("q1"), least)
-    two_sided = F.col("metric").isin([m for m, (two, _) in METRICS.items() if two])
-    fences = quart.select("level", "l", "s", "metric", "docs", F.when(two_sided, F.col("q1") - step).otherwise(F.lit(-1)).alias("low"), (F.col("q3") + step).alias("high"))
+    at = lambda pct: F.min(F.when(F.col("up_to") * 100 >= F.col("all") * pct, F.col("bucket")))
+    pct, two = F.lit(None), F.lit(False)
+    for m, (p, low) in QUANTILES.items():
+        pct, two = F.when(F.col("metric") == m, F.lit(p)).otherwise(pct), F.when(F.col("metric") == m, F.lit(low)).otherwise(two)
+    found = ranked.withColumns({"pct": pct, "two": two}).groupBy("level", "l", "s", "metric", "two").agg(F.max("all").alias("docs"), at(100 - F.col("pct")).alias("ql"), at(F.lit(50)).alias("q50"), at(F.col("pct")).alias("qh"))
+    top = F.expr("qh + shiftleft(1L, greatest(length(bin(qh)) - 7, 0)) - 1")  # the largest value of the quantile's step
+    fences = found.select("level", "l", "s", "metric", "docs", F.when(F.col("two"), F.col("ql") - k * (F.col("q50") - F.col("ql"))).otherwise(F.lit(-1)).alias("low"), (top + k * (top - F.col("q50"))).alias("high"))
     wide = checkpointed(fences.groupBy("level", "l", "s").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]))  # three levels are taken from it
     cols = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
     own, lang, whole = (wide.filter(F.col("level") == i) for i in range(3))
@@ -145,9 +156,10 @@ s AS (SELECT lang, source, metric, (x >> greatest(length(bin(x)) - 7, 0)) << gre
 g AS (SELECT 0 AS level, lang AS l, source AS s, metric, bucket, n FROM s UNION ALL SELECT 1, lang, NULL, metric, bucket, n FROM s UNION ALL SELECT 2, NULL, NULL, metric, bucket, n FROM s),
 h AS (SELECT level, l, s, metric, bucket, sum(n) AS n FROM g GROUP BY ALL),
 k AS (SELECT *, sum(n) OVER (PARTITION BY level, l, s, metric ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS up_to, sum(n) OVER (PARTITION BY level, l, s, metric) AS total FROM h),
-q AS (SELECT level, l, s, metric, max(total) AS docs, min(bucket) FILTER (up_to * 4 >= total) AS q1, min(bucket) FILTER (up_to * 4 >= total * 3) AS q3 FROM k GROUP BY ALL),
-f AS (SELECT *, 3 * greatest(q3 - q1, CASE metric WHEN 'word_len' THEN 60 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 170 ELSE 100 END) AS step FROM q),
-b AS (SELECT level, l, s, metric, docs, CASE WHEN metric = 'word_len' THEN q1 - step ELSE -1 END AS low, q3 + step AS high FROM f),
+q AS (SELECT level, l, s, metric, max(total) AS docs, min(bucket) FILTER (up_to * 100 >= total * CASE WHEN metric IN ('word_len', 'symbols') THEN 10 ELSE 1 END) AS ql, min(bucket) FILTER (up_to * 100 >= total * 50) AS q50,
+  min(bucket) FILTER (up_to * 100 >= total * CASE WHEN metric IN ('word_len', 'symbols') THEN 90 ELSE 99 END) AS qh FROM k GROUP BY ALL),
+f AS (SELECT *, qh + (1 << greatest(length(bin(qh)) - 7, 0)) - 1 AS top FROM q),
+b AS (SELECT level, l, s, metric, docs, CASE WHEN metric = 'word_len' THEN ql - 3 * (q50 - ql) ELSE -1 END AS low, top + 3 * (top - q50) AS high FROM f),
 e AS (SELECT o.l AS tl, o.s AS ts, o.metric, CASE WHEN o.docs >= 50 THEN o.low WHEN la.docs >= 50 THEN la.low ELSE wh.low END AS low, CASE WHEN o.docs >= 50 THEN o.high WHEN la.docs >= 50 THEN la.high ELSE wh.high END AS high
   FROM b o LEFT JOIN b la ON la.level = 1 AND la.metric = o.metric AND la.l IS NOT DISTINCT FROM o.l LEFT JOIN b wh ON wh.level = 2 AND wh.metric = o.metric WHERE o.level = 0),
 v AS (SELECT m.rid, bool_and(CASE e.metric WHEN 'word_len' THEN word_len WHEN 'symbols' THEN symbols WHEN 'dup_lines' THEN dup_lines ELSE repeats END BETWEEN e.low AND e.high) AS inside

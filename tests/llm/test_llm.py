@@ -328,13 +328,30 @@ def test_quality_counts(spark):
     assert quality.quality_rules(docs(spark, [])).count() == 0
 
 
-def test_quality_windows_of_very_long_texts(spark):
-    old, quality.POSITION_BITS = quality.POSITION_BITS, 3  # texts of 8 words and more take the way of longer ones
-    try:
-        r = quality.quality_rules(docs(spark, [(1, "a b c x y a b c z q")])).first()
-        assert r["n_repeat_words"] == 6
-    finally:
-        quality.POSITION_BITS = old
+def test_quality_windows_of_one_hash(spark, monkeypatch):
+    texts = ["a b c x y a b c z q", "a b c", "a a a a", "p q r s p q r s t", "", "one two"]
+    rows = docs(spark, list(enumerate(texts)))
+    want = {r["doc_id"]: r["n_repeat_words"] for r in quality.text_counts(rows).collect()}
+    assert want == {0: 6, 1: 0, 2: 4, 3: 8, 4: 0, 5: 0}
+    for h in (F.lit(0).cast("long"), None):  # all windows of one hash, and of few
+        monkeypatch.setattr(quality, "_window_hash", lambda w, i, h=h: h if h is not None else F.length(F.get(w, i)).cast("long") + F.ascii(F.get(w, i + 2)) % 2)
+        assert {r["doc_id"]: r["n_repeat_words"] for r in quality.text_counts(rows).collect()} == want
+
+
+def test_thresholds_adapt_to_the_source(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    prose = lambda symbols: " ".join([word() for _ in range(80)] + ["#$%"] * symbols)
+    odd = prose(12)
+    rows = [(k, prose(0), "en", "news", 1) for k in range(70)] + [(100 + k, prose(k % 16), "en", "code", 1) for k in range(70)]
+    rows += [(1000, odd, "en", "news", 1), (1001, odd, "en", "code", 1), (1002, odd, None, None, 1), (1003, None, None, None, 1), (1003, prose(0), "en", "few", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, bucket int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(table).collect() if r["doc_id"] >= 1000 and not r["base_failed"]}
+    assert kept[1000] is False and kept[1001] is True and kept[1003] is True
+    clean = [r["kept"] for r in quality.quality_rules(table).collect() if r["doc_id"] < 1000]
+    assert sum(clean) >= len(clean) - 2
+    same = spark.createDataFrame([(k, prose(0), "en", "s", 1) for k in range(60)] * 2, table.schema)
+    assert sum(not r["kept"] for r in quality.quality_rules(same).collect()) <= 2
 
 
 def test_line_dedup(spark):
