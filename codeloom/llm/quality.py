@@ -52,7 +52,7 @@ def _repeated_starts(w: Column, sorted_windows: Column, bits: Column) -> Column:
     again = F.filter(s, lambda x, i: like(x, F.get(s, i - 1)) | like(x, F.get(s, i + 1)))
     windows = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))))
     equal = lambda x, y: F.coalesce(x["t"] == y["t"], F.lit(False))
-    exact = F.filter(windows, lambda x, i: equal(x, F.get(windows, i - 1)) | equal(x, F.get(windows, i + 1)))
+    exact = F.transform(F.array(windows), lambda ws: F.filter(ws, lambda x, i: equal(x, F.get(ws, i - 1)) | equal(x, F.get(ws, i + 1))))[0]  # sorted once
     return F.when(F.size(s) == 0, F.array().cast("array<int>")).when(clash, F.array_sort(F.transform(exact, lambda x: x["i"]))).otherwise(F.array_sort(F.transform(again, place)))
 
 
