@@ -1,15 +1,17 @@
 """Exact top-k inner products by the threshold algorithm.
 
-Rows are packed into shards of a bounded number of vectors and queries into
-blocks; each shard meets each block once. In a shard every dimension has a
-sorted list. A query goes down all lists together, from the end that its sign
-favours, scores each vector when it is first seen, and stops when no unseen
-vector can reach its k-th score: the sum of its weights times the values at the
-present depth is smaller. The best k of each shard are merged by query.
-
-Components become floor(scale * x) in double precision, scores are integers.
-Vectors that are null, or hold a null or non-finite component, take no part; nor
-do rows with a null id. Vectors of different length never meet. Ties go to the
+Rows are packed into shards of a bounded number of bytes, queries into blocks. Each
+block of queries is sent to each shard, so that shards, the larger side, are moved
+once. In a shard every dimension has a sorted list. A query goes down the lists from
+the end that its sign favours, in each round those that lower the bound most, scores
+each vector when it is first seen, and stops when no unseen vector can reach its k-th
+score: the sum of its weights times the values at the lists' present depths is
+smaller. The best k of each shard are merged by query.
+
+Components become floor(scale * x) in double precision, scores are exact integers; one
+that a long does not hold, or a component beyond 2^62, is an error. Vectors that are
+null, or hold a null or non-finite component, take no part; nor do empty ones or rows
+with a null id. Vectors of different length never meet. Ties go to the
 smaller id. A repeated id is a candidate for each row, never for a query of the
 same id, and a repeated query has its results for each row. Extra columns are
 not read. An empty table gives no row.
@@ -25,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, BLOCK, FIRST_DEPTH = 1 << 16, 256, 128
+SHARD, SHARD_BYTES, BLOCK = 1 << 16, 32 << 20, 256
+FIRST_DEPTH, GROWTH, TOGETHER = 32, 1.5, 8  # places that a list goes down at first, how that grows, and of how many lists one goes on
+MOST = 2.0**62
 
 
 def _quantised(df: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
@@ -41,7 +45,9 @@ def _quantised(df: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFram
                 if len(x) and np.isfinite(x).all():
                     ids.append(key)
                     dims.append(len(x))
-                    out.append(np.clip(x, -(2.0**62), 2.0**62).astype("<i8").tobytes())
+                    if np.abs(x).max() > MOST:
+                        raise ValueError(f"a component of vector {key} is beyond 2^62 when scaled")
+                    out.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["id", "dim", "v"])
 
     return df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"CAST(`{vec_col}` AS ARRAY<DOUBLE>) AS v").mapInArrow(run, "id long, dim int, v binary")
@@ -65,13 +71,14 @@ class SortedLists:
         self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32).T.copy()
         self.largest = int(np.abs(vectors).max(initial=0))
         self.by_type: dict = {}
+        self.examined = 0
 
     def typed(self, query: np.ndarray) -> np.ndarray:
         """The vectors in the fastest type that is exact for this query."""
         most = int(np.abs(query).max(initial=0)) * self.largest * len(query)
-        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
         if kind not in self.by_type:
-            self.by_type[kind] = self.v.astype(kind)
+            self.by_type = {kind: self.v.astype(kind)}
         return self.by_type[kind]
 
     def top(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,62 +87,76 @@ class SortedLists:
         q = query.astype(v.dtype)
         n = len(self.ids)
         dims = np.flatnonzero(query)
-        seen = np.zeros(n, dtype=bool)
         if not len(dims):  # every score is 0: the smallest ids
             at = np.flatnonzero(self.ids != own_id)[:k]
             return self.ids[at], np.zeros(len(at), dtype=np.int64)
+        seen = np.zeros(n, dtype=bool)
         down = query[dims] > 0
+        weight = q[dims]
+        place = lambda depth: self.order[dims, np.where(down, n - 1 - depth, depth)]
+        part = lambda depth: v[place(depth), dims] * weight  # noqa: E731  what an unseen vector can have of each dimension
+        depth = np.zeros(len(dims), dtype=np.int64)
+        now = part(depth)
         kept, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=v.dtype)
-        depth, step = 0, FIRST_DEPTH
-        while depth < n:
-            end = min(n, depth + step)
-            fresh = np.zeros(n, dtype=bool)
-            fresh[self.order[dims[down], n - end : n - depth].ravel()] = True
-            fresh[self.order[dims[~down], depth:end].ravel()] = True
-            new = np.flatnonzero(fresh & ~seen)
+        step, some = FIRST_DEPTH, max(1, len(dims) // TOGETHER)
+        while True:
+            end = np.minimum(depth + step, n - 1)
+            then = part(end)
+            gain = np.where(depth < n - 1, now - then, -1)
+            go = np.flatnonzero(gain >= np.sort(gain)[-some]) if v.dtype == object else np.argpartition(-gain, some - 1)[:some]
+            go = go[depth[go] < n - 1]
+            fresh = [self.order[dims[d], n - 1 - end[d] : n - depth[d]] if down[d] else self.order[dims[d], depth[d] : end[d] + 1] for d in go]
+            new = np.concatenate(fresh) if fresh else np.arange(n)
+            new = np.unique(new[~seen[new]])
             seen[new] = True
+            depth[go], now[go] = end[go], then[go]
+            self.examined += len(new)
             new = new[self.ids[new] != own_id]
             kept, scores = np.concatenate([kept, new]), np.concatenate([scores, v[new] @ q])
             if len(scores) > k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                least = np.sort(scores)[-k] if v.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
                 stay = scores >= least
                 kept, scores = kept[stay], scores[stay]
-                at = self.order[dims, np.where(down, n - end, end - 1)]
-                bound = sum(int(a) * int(b) for a, b in zip(query[dims], self.v[at, dims], strict=True))
-                if bound < int(least):
+                if sum(map(int, now)) < int(least):
                     break
-            depth, step = end, step * 2
+            if (depth >= n - 1).any():  # a list is at its end: all were seen
+                break
+            step = min(n, int(step * GROWTH))
         best = np.lexsort((self.ids[kept], -scores))[:k]
+        if v.dtype == object and any(abs(int(x)) >= 1 << 63 for x in scores[best]):
+            raise OverflowError("a score does not fit a long")
         return self.ids[kept[best]], scores[best].astype(np.int64)
 
 
 def top_k(df: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score); queries are the ids divisible by ``every``."""
     vectors = _quantised(df, scale, id_col, vec_col)
-    total = df.count()
-    shards, blocks = max(1, -(-total // shard)), max(1, -(-total // every // block))
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
+    shard = max(1, min(shard, SHARD_BYTES // (8 * max(1, sizes["dim"] or 1))))
+    shards, blocks = max(1, -(-sizes["n"] // shard)), max(1, -(-sizes["n"] // every // block))
     candidates = _packed(vectors.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards))), "shard")
     queries = vectors.filter(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(blocks)))
-    queries = _packed(queries, "block").select("dim", "block", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
-    met = candidates.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(queries, ["dim", "block"])
+    queries = _packed(queries, "block").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    sides = candidates.select("dim", "shard", F.lit(-1).cast("long").alias("block"), "ids", "vs").unionByName(queries.select("dim", "shard", "block", "ids", "vs"))
+    dealt = sides.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = ()
         for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["dim"], r["shard"])
-                if not held or held[0] != key:
-                    held = (key, SortedLists(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vs"], "<i8").reshape(-1, r["dim"])))
-                q_ids, q_vs = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vs"], "<i8").reshape(-1, r["dim"])
-                found = [held[1].top(int(i), q, k) for i, q in zip(q_ids, q_vs, strict=True)]
-                sizes = [len(f[0]) for f in found]
-                no = np.repeat(np.arange(len(q_ids)), sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(no), r["dim"], dtype=np.int32)), pa.array(np.full(len(no), r["block"], dtype=np.int64)), pa.array(no), pa.array(q_ids[no]), pa.array(np.concatenate([f[0] for f in found]) if found else []), pa.array(np.concatenate([f[1] for f in found]) if found else [])],
-                    names=["dim", "block", "no", "query_id", "vec_id", "score"],
-                )
-
-    found = met.select("dim", "shard", "block", "ids", "vs", "q_ids", "q_vs").mapInArrow(run, "dim int, block long, no long, query_id long, vec_id long, score long")
+            for i in range(batch.num_rows):
+                dim, no_shard, no_block, ids, vs = (batch.column(c)[i].as_py() for c in range(5))
+                ids, vs = np.frombuffer(ids, "<i8"), np.frombuffer(vs, "<i8").reshape(-1, dim)
+                if no_block < 0:  # the shard itself comes first
+                    held = ((dim, no_shard), SortedLists(ids, vs))
+                    continue
+                if not held or held[0] != (dim, no_shard):
+                    continue  # no candidate here
+                found = [held[1].top(int(key), q, k) for key, q in zip(ids, vs, strict=True)]
+                no = np.repeat(np.arange(len(ids)), [len(f[0]) for f in found])
+                cols = [np.full(len(no), dim, dtype=np.int32), np.full(len(no), no_block, dtype=np.int64), no, ids[no], np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["dim", "block", "no", "query_id", "vec_id", "score"])
+
+    found = dealt.select("dim", "shard", "block", "ids", "vs").mapInArrow(run, "dim int, block long, no long, query_id long, vec_id long, score long")
     order = Window.partitionBy("dim", "block", "no", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

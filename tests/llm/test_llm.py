@@ -305,6 +305,22 @@ def test_top_k(spark):
     for shard in (16, 1 << 16):
         assert sorted(tuple(r) for r in topk.top_k(df, shard=shard, block=2).collect()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
+    for big, error in (([1e18, 0.0], "beyond 2^62"), ([3e16, 0.0], "does not fit a long")):
+        with pytest.raises(Exception, match=error.replace("^", r"\^")):
+            topk.top_k(spark.createDataFrame([(20, big, 1), (21, big, 1)], df.schema)).collect()
+    exact = topk.top_k(spark.createDataFrame([(20, [3e14, 1.0], 1), (21, [2.0, 5.0], 1), (22, [-2.0, 0.0], 1)], df.schema)).collect()
+    assert {r["vec_id"]: r["score"] for r in exact} == {21: int(3e14) * 64 * 128 + 64 * 320, 22: -int(3e14) * 64 * 128}
+
+
+def test_lists_stop_early_where_they_can():
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(4000, 16))
+    v = np.floor(64 * np.r_[near, near[:50] + 4]).astype(np.int64)
+    lists = topk.SortedLists(np.arange(len(v)), v)
+    q = v[4020]
+    ids, scores = lists.top(4020, q, 5)
+    want = sorted((-int(q @ x), i) for i, x in enumerate(v) if i != 4020)[:5]
+    assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == want and lists.examined < len(v) / 2
 
 
 def test_chats(spark):
