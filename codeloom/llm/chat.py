@@ -8,7 +8,9 @@ reduced to the smallest id, by the last hash. What stays is rendered.
 
 Turns are ordered by turn, then role, then text. Null roles and texts count as
 empty; rows with a null id form one conversation. Repeated rows are turns of
-their own. Extra columns are not read. An empty table gives no row.
+their own. Roles and texts that hold the marks of a turn have a blank put after
+their '<', so that no text can pass for a turn. Extra columns are not read. An empty
+table gives no row. A conversation's turns meet in one task, as they are one text.
 """
 
 from __future__ import annotations
@@ -17,12 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+RUN = 256
 
 
 def _prefix_hashes(turns: Column) -> Column:
-    """The rolling SHA-256 after each turn; a turn adds its role and its text's hash."""
-    step = lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256)))
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+    """The rolling SHA-256 after each turn; a turn adds its role and its text's hash. They are
+    kept in two levels, RUN hashes in a list, so that lists are not copied for every turn."""
+    start = F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("now"), F.array().cast("array<array<string>>").alias("full"))
+
+    def step(acc: Column, t: Column) -> Column:
+        h = F.sha2(F.concat(acc["h"], F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256)
+        ended = F.size(acc["now"]) >= RUN
+        now = F.when(ended, F.array(h)).otherwise(F.array_append(acc["now"], h))
+        return F.struct(h.alias("h"), now.alias("now"), F.when(ended, F.array_append(acc["full"], acc["now"])).otherwise(acc["full"]).alias("full"))
+
+    return F.aggregate(turns, start, step, lambda acc: F.flatten(F.array_append(acc["full"], acc["now"])))
 
 
 def maximal_conversations(df: DataFrame) -> DataFrame:
@@ -38,7 +49,8 @@ def maximal_conversations(df: DataFrame) -> DataFrame:
 
 def render(turns: Column) -> Column:
     """ChatML text: a header with the role, the text, an end mark, for each turn."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE + "\n"))), "")
+    plain = lambda c: F.replace(F.replace(c, F.lit(OPEN), F.lit("< " + OPEN[1:])), F.lit(CLOSE), F.lit("< " + CLOSE[1:]))
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), plain(t["role"]), F.lit("\n"), plain(t["text"]), F.lit(CLOSE + "\n"))), "")
 
 
 def format_chats(df: DataFrame) -> DataFrame:
@@ -51,6 +63,6 @@ WITH c AS (SELECT conv_id, list({'t': turn, 'role': coalesce(role, ''), 'text':
 k AS (SELECT conv_id, ts, list_transform(ts, lambda x: {'role': x.role, 'text': x.text}) AS body FROM c),
 u AS (SELECT body, min(conv_id) AS keep, count(*) AS copies FROM k GROUP BY body),
 pre AS (SELECT DISTINCT body[1:n] AS body FROM (SELECT body, unnest(range(1, len(body))) AS n FROM k))
-SELECT k.conv_id, len(k.ts)::BIGINT AS n_turns, u.copies, array_to_string(list_transform(k.body, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS text
+SELECT k.conv_id, len(k.ts)::BIGINT AS n_turns, u.copies, array_to_string(list_transform(k.body, lambda x: '<|im_start|>' || replace(replace(x.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10) || replace(replace(x.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10)), '') AS text
 FROM u JOIN k ON k.conv_id IS NOT DISTINCT FROM u.keep WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.body = u.body)
 """
