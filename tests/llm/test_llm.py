@@ -137,10 +137,13 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 18, 40, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr("codeloom.llm.graph.FEW", few)
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (5, 5)] + [(200, k) for k in range(201, 260)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(31)} == {0} and got[101] == 100 and {got[k] for k in range(200, 260)} == {200}
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
 ODD = ["", "  a  b ", "a\tb\nc", "▁x", "ﬁ é ① 　x", "0\x00a", "<s> <0x0A>", "aaaa" * 50, " " * 40, "漢字😀", "x" * 3000, "Σ ΑΣ İ", "can't 'S \x1c \x85 .", "\n\n a  \n", "<|endoftext|>"]
