@@ -44,5 +44,10 @@ def graph_context(name: Column, callers: Column, callees: Column) -> Column:
     return F.concat(name, F.lit("\n  Called by: "), shown(callers), F.lit("\n  Calls: "), shown(callees))
 
 
+def candidate_line(rank: Column, name: Column, path: Column, link: Column) -> Column:
+    shown = F.concat(F.lit("`"), name, F.lit("`"))
+    return F.concat(rank.cast("string"), F.lit(". **"), F.when(link != "", F.concat(F.lit("["), shown, F.lit("]("), link, F.lit(")"))).otherwise(shown), F.lit("** in `"), path, F.lit("`\n\n"))
+
+
 def error_comment(message: Column) -> Column:
     return F.concat(F.lit("## Bug localisation failed\n\n"), F.coalesce(message, F.lit("unknown error")))

@@ -88,6 +88,16 @@ def has_source_extension(path: Column) -> Column:
     return path.rlike("(" + "|".join(x.replace(".", r"\.") for x in LANGUAGES) + ")$")
 
 
+def is_prose_file(path: Column) -> Column:
+    """Read-me and text files, which a list of files to look at leaves out."""
+    base = F.lower(F.element_at(F.split(path, "/"), -1))
+    return base.endswith(".txt") | base.startswith("readme")
+
+
+def iso_utc(ts: Column) -> Column:
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def in_excluded_dir(path: Column) -> Column:
     return F.exists(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda x: x.isin(EXCLUDED_DIRS))
 

@@ -75,6 +75,23 @@ def recall_diagnostics(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.select("issue", F.size(F.array_intersect("g", "p")).alias("found"), F.size("g").alias("truths"), F.array_except("g", "p").alias("missing"))
 
 
+def issues_by_repo(issues: DataFrame, meta: list[str]) -> DataFrame:
+    """(repo, n, issues, metadata) of (repo, issue, ...): the metadata are those of the first issue."""
+    return issues.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("issue")).alias("issues"), *[F.min_by(c, "issue").alias(c) for c in meta])
+
+
+def path_of_basename(names: DataFrame, paths: DataFrame) -> DataFrame:
+    """(name) to the first of (path, pos) that has it as its last segment."""
+    found = paths.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "pos")
+    return names.join(found, "name").groupBy("name").agg(F.min_by("path", "pos").alias("path"))
+
+
+def entity_lists(rows: DataFrame) -> DataFrame:
+    """(issue, functions, classes, predicted functions, predicted classes) as one truth, each
+    value once, and one list of predictions, functions first."""
+    return rows.select("issue", F.array_union("functions", "classes").alias("truth"), F.concat("predicted_functions", "predicted_classes").alias("predicted"))
+
+
 def tokens_used(row_input: Column, other_input: Column, output: Column) -> Column:
     return F.coalesce(row_input, other_input, F.lit(0)) + F.coalesce(output, F.lit(0))
 

@@ -44,6 +44,13 @@ def upsert(entities: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFra
     return stay.unionByName(new, allowMissingColumns=True)
 
 
+def upsert_edges(edges: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Edges without those from removed entities (repo, id), plus the fresh ones; an edge to a
+    removed entity goes unless it is among the fresh ones."""
+    stay = edges.join(gone.select("repo", F.col("id").alias("src")), ["repo", "src"], "left_anti").join(gone.select("repo", F.col("id").alias("dst")), ["repo", "dst"], "left_anti")
+    return stay.select("repo", "src", "dst", "rel").unionByName(fresh.select("repo", "src", "dst", "rel")).distinct()
+
+
 def removed_ids(entities: DataFrame, changes: DataFrame) -> DataFrame:
     return entities.join(changes.filter(F.col("status") != "A").select("repo", F.col("path").alias("file_path")), ["repo", "file_path"], "left_semi").select("repo", "id")
 
@@ -63,6 +70,17 @@ def register(registry: DataFrame, fresh: DataFrame) -> DataFrame:
     return registry.join(fresh.select("repo", "commit_sha"), ["repo", "commit_sha"], "left_anti").unionByName(placed, allowMissingColumns=True)
 
 
+def without_version(registry: DataFrame, repo: str, commit_sha: str | None = None) -> DataFrame:
+    """The registry without a repository's commit, or without all of them."""
+    gone = F.col("repo").eqNullSafe(F.lit(repo))
+    return registry.filter(~(gone if commit_sha is None else gone & F.col("commit_sha").eqNullSafe(F.lit(commit_sha))))
+
+
+def versions(registry: DataFrame) -> DataFrame:
+    """Each repository's commits in their order."""
+    return registry.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "commit_sha"))), lambda x: x["commit_sha"]).alias("commits"))
+
+
 def latest_version(registry: DataFrame) -> DataFrame:
     return registry.groupBy("repo").agg(F.max_by(F.struct(*[c for c in registry.columns if c != "repo"]), "seq").alias("v")).select("repo", "v.*")
 

@@ -9,23 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import is_test_entity
+from codeloom.functions.text import is_test_entity, lines_between
 from codeloom.functions.vectors import boost, inner_product
 
-BROADCAST_ROWS = 20_000  # queries of some KB each: beyond this they are dealt in blocks
+BROADCAST_BYTES = 32 << 20
+PART_ROWS = 50_000  # entities of a part that meets all queries
 
 
-def similarities(queries: DataFrame, entities: DataFrame, blocks: int | None = None) -> DataFrame:
+def similarities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """Every stated query against every entity: ``queries`` (issue, q), ``entities`` with id
-    and embedding. A counted, small query set is broadcast; a larger one meets the
-    entities in blocks over a join key, so that neither side must fit in a task."""
-    n = queries.count()
-    if n <= BROADCAST_ROWS:
+    and embedding. A query set whose measured bytes are few is broadcast; a larger one is
+    sent to parts of the entities, which are moved once."""
+    size = queries.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         met = entities.crossJoin(F.broadcast(queries))
     else:
-        blocks = blocks or -(-n // BROADCAST_ROWS)
-        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("issue"), F.lit(blocks)))
-        met = entities.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
+        parts = -(-entities.count() // PART_ROWS)
+        sent = queries.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, parts - 1)).cast("long"))))
+        met = entities.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(max(1, parts)))).join(sent, "_part").drop("_part")
     return met.withColumn("score", inner_product(F.col("embedding"), F.col("q"))).drop("embedding", "q")
 
 
@@ -93,6 +94,37 @@ def final_ranking(candidates: DataFrame, selection: DataFrame) -> DataFrame:
     return stay.withColumn("final_rank", F.row_number().over(order))
 
 
+def with_code(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``code`` from files (file_path, content): a file's whole text, others' lines; where
+    there is none, docstring and signature."""
+    joined = candidates.join(files.select("file_path", "content"), "file_path", "left")
+    cut = F.when(F.col("entity_type") == "file", F.col("content")).otherwise(lines_between(F.col("content"), F.col("start_line"), F.col("end_line")))
+    said = F.concat_ws("\n", "docstring", "signature")
+    return joined.withColumn("code", F.when(F.trim(F.coalesce(cut, F.lit(""))) != "", cut).otherwise(said)).drop("content")
+
+
+def comment_candidates(ranked: DataFrame, most: int = 3) -> DataFrame:
+    """The functions that a comment names, with ``rank``: those with a reason in the selector's
+    order, then the others by score."""
+    reasoned = F.coalesce(F.col("reason"), F.lit("")) != ""
+    order = Window.partitionBy("issue").orderBy(F.desc(reasoned), F.when(reasoned, F.col("final_rank")), F.desc("score"), "id")
+    return ranked.filter(F.col("entity_type") == "function").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def snippet_budget(scored: DataFrame, most: int = 10) -> DataFrame:
+    """Adds ``has_snippet``: an issue's first functions have one, by file (best score first), then score."""
+    best = F.max("score").over(Window.partitionBy("issue", "file_path"))
+    order = Window.partitionBy("issue").orderBy(F.desc("_best"), "file_path", F.desc("score"), "id")
+    return scored.withColumn("_best", best).withColumn("has_snippet", F.row_number().over(order) <= most).drop("_best")
+
+
+def min_max(scored: DataFrame, partition: str = "issue") -> DataFrame:
+    """Adds ``norm``, the score between the partition's least (0) and largest (1); 1 if all are equal."""
+    w = Window.partitionBy(partition)
+    low, high = F.min("score").over(w), F.max("score").over(w)
+    return scored.withColumn("norm", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.lit(1.0)))
+
+
 def fallback_ranking(candidates: DataFrame, k: int = 10) -> DataFrame:
     return top_k(candidates, k).withColumnRenamed("rank", "final_rank")
 

@@ -20,6 +20,23 @@ def since(df: DataFrame, ts: str, now: Column, span: str) -> DataFrame:
     return df.filter(F.col(ts) >= now - range_interval(span))
 
 
+def retained(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
+    """Rows that are not older than so many days; null times go."""
+    return df.filter(F.col(ts) >= now - F.make_dt_interval(F.lit(days)))
+
+
+def retrieval_events(results: DataFrame, top_k: int) -> DataFrame:
+    """Telemetry rows of (issue, repo_name, timestamp, latency_ms, confidence, success)."""
+    return results.select(F.lit("retrieval").alias("type"), "timestamp", F.col("issue").cast("string").alias("issue_id"), "latency_ms", F.lit(top_k).alias("top_k"), "confidence", "repo_name", F.coalesce("success", F.lit(True)).alias("success"))
+
+
+def indexing_events(runs: DataFrame) -> DataFrame:
+    """Telemetry rows of (repo_name, timestamp, files_indexed, functions_count, duration_seconds,
+    error): an error makes an error row."""
+    failed = F.col("error").isNotNull()
+    return runs.select(F.when(failed, "error").otherwise("indexing").alias("type"), "timestamp", "repo_name", (~failed).alias("success"), "files_indexed", "functions_count", "duration_seconds", F.when(failed, "indexing").alias("error_type"), F.col("error").alias("error_msg"))
+
+
 def index_percentile(values: Column, share: float | None) -> Column:
     """The value at index int(share * n) of the sorted values (None: n // 2), without interpolation."""
     n = F.size(values)

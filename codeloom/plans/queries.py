@@ -1,7 +1,7 @@
 """The registered queries: the engine's operators over the benchmark tables, with SQL.
 
 Hosts of the concepts: embeddings are entities (label modulo 3 gives the type,
-vectors 0 to 19 are also the issues' queries), documents are issue and code
+every 20th vector is also an issue's query), documents are issue and code
 texts, events are telemetry, orders are updates and index versions, lineitem
 gives the call graph (suppliers call parts), nation and region containment.
 """
@@ -18,7 +18,7 @@ from codeloom.operators import evaluation, graph, incremental, parsing, retrieva
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-N_ISSUES = 20
+EVERY = 20
 
 
 def query(sql: str | None = None):
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 KIND = "CASE label % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'file' END"
 ENTITY_SQL = "SELECT vec_id AS id, embedding, CASE label % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'file' END AS entity_type, 'src/' || label || '/' || CASE WHEN vec_id % 5 = 0 THEN 'tests/' ELSE '' END || (vec_id % 7) || '.py' AS file_path, 'e' || vec_id AS name, label FROM embeddings"
-SCORED_SQL = f"WITH e AS ({ENTITY_SQL}), s AS (SELECT q.id AS issue, e.id, e.entity_type, e.file_path, e.name, e.label, q.label AS q_label, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM e q JOIN e ON TRUE WHERE q.id < {N_ISSUES})"
+SCORED_SQL = f"WITH e AS ({ENTITY_SQL}), s AS (SELECT q.id AS issue, e.id, e.entity_type, e.file_path, e.name, e.label, q.label AS q_label, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM e q JOIN e ON TRUE WHERE q.id % {EVERY} = 0)"
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir)
-    asked = e.filter(F.col("id") < N_ISSUES).select(F.col("id").alias("issue"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    asked = e.filter(F.col("id") % EVERY == 0).select(F.col("id").alias("issue"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     return retrieval.similarities(asked, e)
 
 
@@ -77,12 +77,12 @@ def group_by_file(spark, sf_dir):
     return g.select("issue", "file_path", F.round("file_score", 6).alias("file_score"), F.size("entities").cast("long").alias("n"), F.get("entities", F.lit(0))["id"].alias("best"))
 
 
-TESTLESS_SQL = SCORED_SQL + ", t AS (SELECT *, issue % 4 = 0 AS tr, row_number() OVER (PARTITION BY issue ORDER BY score DESC, id) AS r FROM s), k AS (SELECT *, (tr OR NOT (contains(file_path, '/test/') OR contains(file_path, '/tests/') OR contains(file_path, '_test.py'))) AS keep FROM t WHERE r <= CASE WHEN tr THEN 20 ELSE 30 END), a AS (SELECT *, bool_or(keep) OVER (PARTITION BY issue) AS anyk FROM k), z AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY r)::INTEGER AS rank FROM a WHERE keep OR NOT anyk)"
+TESTLESS_SQL = SCORED_SQL + ", t AS (SELECT *, (issue // 20) % 4 = 0 AS tr, row_number() OVER (PARTITION BY issue ORDER BY score DESC, id) AS r FROM s), k AS (SELECT *, (tr OR NOT (contains(file_path, '/test/') OR contains(file_path, '/tests/') OR contains(file_path, '_test.py'))) AS keep FROM t WHERE r <= CASE WHEN tr THEN 20 ELSE 30 END), a AS (SELECT *, bool_or(keep) OVER (PARTITION BY issue) AS anyk FROM k), z AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY r)::INTEGER AS rank FROM a WHERE keep OR NOT anyk)"
 
 
 @query(TESTLESS_SQL + " SELECT issue, id, rank FROM z WHERE rank <= 20")
 def filter_tests(spark, sf_dir):
-    ranked = retrieval.top_k(scored(spark, sf_dir), 30).withColumn("is_test_related", F.col("issue") % 4 == 0)
+    ranked = retrieval.top_k(scored(spark, sf_dir), 30).withColumn("is_test_related", F.floor(F.col("issue") / EVERY) % 4 == 0)
     return retrieval.without_tests(ranked, 20).select("issue", "id", "rank")
 
 
@@ -124,6 +124,41 @@ def unit_vectors(spark, sf_dir):
     return e.select("vec_id", F.round(vectors.inner_product(F.col("embedding"), F.col("embedding")), 6).alias("norm2"), F.round(F.get(vectors.unit(F.col("embedding")), F.lit(0)), 6).alias("first"))
 
 
+COMMENT_SQL = RANKED_SQL + ", cc AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY (pos IS NOT NULL) DESC, CASE WHEN pos IS NOT NULL THEN final_rank END NULLS FIRST, score DESC, id)::INTEGER AS rank FROM f WHERE entity_type = 'function')"
+
+
+@query(COMMENT_SQL + " SELECT issue, id, rank FROM cc WHERE rank <= 3")
+def comment_candidates(spark, sf_dir):
+    return retrieval.comment_candidates(ranking(spark, sf_dir)).select("issue", "id", "rank")
+
+
+@query(COMMENT_SQL + ", b AS (SELECT issue, 1 AS seq, '## Bug localisation' || chr(10) || chr(10) || '### Functions where the bug is likely to be' || chr(10) || chr(10) || string_agg(rank || '. **[`' || name || '`](https://github.com/o/r/blob/main/' || file_path || '#L' || (id + 1) || '-L' || (id + 6) || ')** in `' || file_path || '`' || chr(10) || chr(10), '' ORDER BY rank) AS body FROM cc WHERE rank <= 3 GROUP BY issue), an AS (SELECT issue, 2 AS seq, '## Analysis' || chr(10) || chr(10) || 'Closest to the report: ' || string_agg(name, ', ' ORDER BY final_rank) || '.' || chr(10) || chr(10) AS body FROM f WHERE final_rank <= 3 GROUP BY issue), pl AS (SELECT DISTINCT issue, 3 AS seq, '## How such bugs are often mended' || chr(10) || chr(10) || '- test ' || issue || chr(10) || chr(10) || '> A suggestion by a machine: please review it.' || chr(10) AS body FROM f WHERE issue % 40 = 0) SELECT issue, seq, body FROM b UNION ALL SELECT issue, seq, body FROM an UNION ALL SELECT issue, seq, body FROM pl")
+def issue_comments(spark, sf_dir):
+    from codeloom.plans import workflows
+
+    ranked = ranking(spark, sf_dir).withColumns({"start_line": F.col("id") + 1, "end_line": F.col("id") + 6})
+    texts = workflows.default_texts(ranked).withColumn("plan", F.when(F.col("issue") % 40 == 0, F.concat(F.lit("- test "), F.col("issue").cast("string"))))
+    return workflows.comments(ranked, texts, "o", "r")
+
+
+@query(SCORED_SQL + ", t AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY score DESC, id) AS r FROM s), x AS (SELECT *, max(score) OVER (PARTITION BY issue, file_path) AS best FROM t WHERE r <= 60 AND entity_type = 'function') SELECT issue, id, row_number() OVER (PARTITION BY issue ORDER BY best DESC, file_path, score DESC, id) <= 10 AS has_snippet FROM x")
+def snippet_budget(spark, sf_dir):
+    top = retrieval.top_k(scored(spark, sf_dir), 60).filter("entity_type = 'function'")
+    return retrieval.snippet_budget(top).select("issue", "id", "has_snippet")
+
+
+@query(SCORED_SQL + ", t AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY score DESC, id) AS r FROM s), w AS (SELECT issue, id, score, min(score) OVER (PARTITION BY issue) AS lo, max(score) OVER (PARTITION BY issue) AS hi FROM t WHERE r <= 60) SELECT issue, id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 5) AS norm FROM w")
+def min_max_scores(spark, sf_dir):
+    return retrieval.min_max(retrieval.top_k(scored(spark, sf_dir), 60)).select("issue", "id", F.round("norm", 5).alias("norm"))
+
+
+@query("SELECT doc_id AS id, md5(CASE WHEN doc_id % 3 = 0 THEN CASE WHEN trim(coalesce(text, '')) <> '' THEN text ELSE 'd' || chr(10) || 's' END WHEN trim(coalesce(array_to_string(string_split(text, chr(10))[2:3], chr(10)), '')) <> '' THEN array_to_string(string_split(text, chr(10))[2:3], chr(10)) ELSE 'd' || chr(10) || 's' END) AS code_md5 FROM documents")
+def candidate_code(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_path"), "text")
+    c = d.select("id", "file_path", F.when(F.col("id") % 3 == 0, "file").otherwise("function").alias("entity_type"), F.lit(2).alias("start_line"), F.lit(3).alias("end_line"), F.lit("d").alias("docstring"), F.lit("s").alias("signature"))
+    return retrieval.with_code(c, d.select("file_path", F.col("text").alias("content"))).select("id", F.md5("code").alias("code_md5"))
+
+
 # --- text --------------------------------------------------------------------------------------
 
 CLEAN_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '(?m)^#+\\s+', '', 'g'), '\\[([^\\]]+)\\]\\([^\\)]+\\)', '\\1', 'g'), '```[\\s\\S]*?```', '', 'g'), '`[^`]+`', '', 'g'), '<[^>]+>', '', 'g'), 'http[s]?://\\S+', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s.,!?-]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -265,6 +300,25 @@ def class_methods(spark, sf_dir):
     return m.select(F.col("id").cast("int").alias("id"), F.size("methods").cast("long").alias("n"), F.md5(F.array_join("methods", ",")).alias("methods"))
 
 
+@query("SELECT 'n' || p_partkey || '.py' AS src, 'lib/m' || (p_partkey % 7) || '.py' AS dst FROM part")
+def module_imports(spark, sf_dir):
+    k = F.col("p_partkey")
+    src = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.concat(F.lit("n"), k.cast("string"), F.lit(".py")).alias("path"), F.array(F.concat(F.lit("from lib.m"), (k % 7).cast("string"), F.lit(" import x")), F.lit("import os")).alias("imports"))
+    files = table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 7").select(F.lit("r").alias("repo"), F.concat(F.lit("lib/m"), (k % 7).cast("string"), F.lit(".py")).alias("file_path"))
+    ids = files.union(src.select("repo", "path")).withColumn("id", text.stable_id(F.col("repo"), F.col("file_path")))
+    e = graph.module_edges(graph.import_paths(src), ids)
+    name = lambda end: ids.select(F.col("id").alias(end), F.col("file_path").alias(f"{end}_path"))
+    return e.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+
+
+@query("SELECT 'src/' || source AS path, count(*) AS files, min(CASE WHEN source < 'm' THEN 'about ' || source END) AS summary FROM documents GROUP BY source")
+def directory_summaries(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.lit("r").alias("repo"), F.concat_ws("/", F.lit("src"), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias("file_path"))
+    known = d.filter("source < 'm'").select(F.lit("r").alias("repo"), F.concat(F.lit("src/"), "source").alias("path"), F.concat(F.lit("about "), "source").alias("summary")).distinct()
+    return graph.directory_summaries(files, known).select("path", "files", "summary")
+
+
 # --- telemetry ---------------------------------------------------------------------------------
 
 OK = "event_type <> 'error'"
@@ -343,6 +397,13 @@ def latency_alerts(spark, sf_dir):
     return telemetry.alerts(table(spark, sf_dir, "events"), F.col("value")).select("event_id", "value")
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def retained_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return telemetry.retained(e.crossJoin(F.broadcast(now)), "ts", F.col("now"), 3).select("event_id", text.iso_utc(F.col("ts")).alias("at"))
+
+
 # --- evaluation --------------------------------------------------------------------------------
 
 PT_SQL = RANKED_SQL + ", q AS (SELECT issue, file_path AS value, min(final_rank) AS fr FROM f WHERE final_rank <= 10 GROUP BY ALL), pr AS (SELECT issue, value, row_number() OVER (PARTITION BY issue ORDER BY fr) AS pos FROM q), tr AS (SELECT DISTINCT issue, file_path AS value FROM s WHERE label = q_label AND id % 3 = 0)"
@@ -388,6 +449,27 @@ def first_issues_per_repo(spark, sf_dir):
     return telemetry.keep_last(d, ["source"], ["neg"], 10).select("source", "doc_id")
 
 
+@query("SELECT source AS repo, count(*) AS n, min(doc_id) AS first, arg_min(coalesce(lang, '-'), doc_id) AS lang FROM documents GROUP BY source")
+def issues_by_repo(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("issue"), F.coalesce("lang", F.lit("-")).alias("lang"))
+    return evaluation.issues_by_repo(d, ["lang"]).select("repo", "n", F.get("issues", F.lit(0)).alias("first"), "lang")
+
+
+@query("SELECT p_partkey % 50 || '.py' AS name, 'd' || min(p_partkey) || '/' || p_partkey % 50 || '.py' AS path FROM part GROUP BY p_partkey % 50")
+def basename_paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat((k % 50).cast("string"), F.lit(".py"))
+    paths = table(spark, sf_dir, "part").select(F.concat(F.lit("d"), k.cast("string"), F.lit("/"), name).alias("path"), k.alias("pos"))
+    return evaluation.path_of_basename(table(spark, sf_dir, "part").select(name.alias("name")).distinct(), paths)
+
+
+@query("SELECT o_custkey AS repo, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS commits FROM orders WHERE o_custkey <> 1 GROUP BY o_custkey")
+def registry_versions(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("commit_sha"))
+    v = incremental.versions(incremental.without_version(r, "1"))
+    return v.select(F.col("repo").cast(table(spark, sf_dir, "orders").schema["o_custkey"].dataType).alias("repo"), F.array_join("commits", ",").alias("commits"))
+
+
 # --- incremental -------------------------------------------------------------------------------
 
 SNAP_SQL = "WITH o AS (SELECT source, doc_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 1), n AS (SELECT source, doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 2), c AS (SELECT coalesce(o.source, n.source) AS repo, coalesce(o.doc_id, n.doc_id) AS doc, CASE WHEN o.h IS NULL THEN 'A' WHEN n.h IS NULL THEN 'D' WHEN o.h <> n.h THEN 'M' END AS status FROM o FULL JOIN n ON o.source = n.source AND o.doc_id = n.doc_id)"
@@ -437,20 +519,20 @@ def append_unseen(spark, sf_dir):
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code made of nations: a Python class for each nation, with a method that calls its region's function."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    """Code made of parts: a Python class for each part, with a method that calls one of the first functions."""
+    n = table(spark, sf_dir, "part")
+    k, r = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5 + 1).cast("string")
     body = F.concat(F.lit("import os\n\ndef helper_"), k, F.lit("(x):\n    return x\n\nclass C"), k, F.lit(":\n    def run_"), k, F.lit("(self):\n        return helper_"), r, F.lit("(1)\n"))
     return n.select(F.lit("r").alias("repo"), F.concat(F.lit("n"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), body.alias("content"))
 
 
-@query("SELECT 'n' || n_nationkey || '.py' AS file_path, unnest(['helper_' || n_nationkey, 'C' || n_nationkey, 'run_' || n_nationkey, 'n' || n_nationkey || '.py']) AS name, unnest(['function', 'class', 'function', 'file']) AS entity_type, unnest([3, 6, 7, 0])::INTEGER AS start_line, unnest([4, 8, 8, 0])::INTEGER AS end_line FROM nation")
+@query("SELECT 'n' || p_partkey || '.py' AS file_path, unnest(['helper_' || p_partkey, 'C' || p_partkey, 'run_' || p_partkey, 'n' || p_partkey || '.py']) AS name, unnest(['function', 'class', 'function', 'file']) AS entity_type, unnest([3, 6, 7, 0])::INTEGER AS start_line, unnest([4, 8, 8, 0])::INTEGER AS end_line FROM part")
 def parse_entities(spark, sf_dir):
     e = parsing.entities(parsing.parse_files(source_files(spark, sf_dir)))
     return e.select("file_path", "name", "entity_type", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"))
 
 
-@query("SELECT 'run_' || n.n_nationkey AS caller, 'helper_' || m.n_nationkey AS callee FROM nation n JOIN nation m ON m.n_nationkey = n.n_regionkey")
+@query("SELECT 'run_' || n.p_partkey AS caller, 'helper_' || m.p_partkey AS callee FROM part n JOIN part m ON m.p_partkey = n.p_partkey % 5 + 1")
 def parse_call_edges(spark, sf_dir):
     parsed = parsing.parse_files(source_files(spark, sf_dir))
     fn = parsing.entities(parsed).filter("entity_type = 'function'")

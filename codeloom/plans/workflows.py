@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import render
 from codeloom.functions.text import clean_text, long_enough
 from codeloom.functions.vectors import hashed_embedding
 from codeloom.operators import evaluation, graph, incremental, parsing, retrieval
@@ -35,7 +36,8 @@ def index_repository(files: DataFrame, settings: Settings | None = None, embed:
     texts = parsing.embedding_texts(found, graph.class_methods(found), parsed)
     vectors = texts.dropDuplicates(["id"]).select("id", embed(F.col("text"), settings.dim).alias("embedding"))
     functions = found.filter(F.col("entity_type") == "function")
-    edges = graph.contains_edges(found).unionByName(graph.call_edges(parsing.call_pairs(parsed), functions).distinct())
+    modules = graph.module_edges(graph.import_paths(parsed), found.filter(F.col("entity_type") == "file"))
+    edges = graph.contains_edges(found).unionByName(graph.call_edges(parsing.call_pairs(parsed), functions).distinct()).unionByName(modules)
     return found.dropDuplicates(["repo", "id"]).join(vectors, "id", "left"), edges
 
 
@@ -55,6 +57,29 @@ def localise(issues: DataFrame, entities: DataFrame, edges: DataFrame, settings:
     return retrieval.final_ranking(full, chosen).join(around, "id", "left")
 
 
+def comments(ranked: DataFrame, texts: DataFrame, owner: str, name: str, branch: str = "main") -> DataFrame:
+    """(issue, seq, body): the functions where the bug is likely to be; an analysis, if (issue,
+    analysis, hypothesis, plan) has one; a plan, if there is one. ``ranked`` has a final
+    ranking with reasons and lines."""
+    named = retrieval.comment_candidates(ranked)
+    link = render.permalink(F.lit(owner), F.lit(name), F.lit(branch), F.col("file_path"), F.col("start_line"), F.col("end_line"))
+    line = F.struct("rank", render.candidate_line(F.col("rank"), F.col("name"), F.col("file_path"), link).alias("line"))
+    listed = named.groupBy("issue").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    first = listed.select("issue", F.lit(1).alias("seq"), F.concat(F.lit("## Bug localisation\n\n### Functions where the bug is likely to be\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("body"))
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    part = lambda c, head, tail: F.when(has(c), F.concat(F.lit(head), F.col(c), F.lit(tail))).otherwise(F.lit(""))
+    second = texts.filter(has("analysis") | has("hypothesis")).select("issue", F.lit(2).alias("seq"), F.concat(F.lit("## Analysis\n\n"), part("analysis", "", "\n\n"), part("hypothesis", "**Hypothesis:**\n", "\n")).alias("body"))
+    third = texts.filter(has("plan")).select("issue", F.lit(3).alias("seq"), F.concat(F.lit("## How such bugs are often mended\n\n"), F.col("plan"), F.lit("\n\n> A suggestion by a machine: please review it.\n")).alias("body"))
+    return first.unionByName(second).unionByName(third)
+
+
+def default_texts(ranked: DataFrame, most: int = 3) -> DataFrame:
+    """A deterministic stand-in for the model's analysis: the best candidates by name; no plan."""
+    best = ranked.filter(F.col("final_rank") <= most).groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("final_rank", "name"))).alias("best"))
+    names = F.array_join(F.transform("best", lambda x: x["name"]), ", ")
+    return best.select("issue", F.concat(F.lit("Closest to the report: "), names, F.lit(".")).alias("analysis"), F.lit(None).cast("string").alias("hypothesis"), F.lit(None).cast("string").alias("plan"))
+
+
 def evaluate(ranking: DataFrame, truth: DataFrame, group: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> tuple[DataFrame, DataFrame]:
     """(metrics by issue and k, summary by repository with a total) of file predictions."""
     predictions = evaluation.distinct_predictions(ranking.select("issue", F.col("final_rank").alias("pos"), F.col("file_path").alias("value")))
@@ -64,6 +89,20 @@ def evaluate(ranking: DataFrame, truth: DataFrame, group: DataFrame, ks: tuple[i
     return metrics, evaluation.summary(rows, "repo", ["hit", "precision_ref", "recall", "f1", "ap"])
 
 
+def update_graph(edges: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The edges after a push: those of changed files and of the files that have edges to them
+    are made anew, so that calls and imports by name find what has come and lose what has gone."""
+    before, after = index_repository(old)[0], index_repository(new)
+    h = lambda df: df.select("repo", "path", F.md5("content").alias("content_hash"))
+    changes = incremental.snapshot_changes(h(old), h(new))
+    gone = incremental.removed_ids(before, changes)
+    new_ids = after[0].join(changes.select("repo", F.col("path").alias("file_path")), ["repo", "file_path"], "left_semi").select("repo", "id")
+    touched = gone.unionByName(new_ids).distinct()
+    ends = touched.withColumnRenamed("id", "src"), touched.withColumnRenamed("id", "dst")
+    fresh = after[1].join(ends[0], ["repo", "src"], "left_semi").unionByName(after[1].join(ends[1], ["repo", "dst"], "left_semi"))
+    return incremental.upsert_edges(edges, gone, fresh)
+
+
 def update_index(entities: DataFrame, old: DataFrame, new: DataFrame, most_changes: int = 50) -> DataFrame:
     """The index after a push: repositories with few changed files are updated in place, others are built anew."""
     h = lambda df: df.select("repo", "path", F.md5("content").alias("content_hash"))

@@ -25,9 +25,24 @@ def read_tree_listing(spark: SparkSession, path: str, site: str, repo: str, bran
     return tree.select(F.explode("tree").alias("t")).filter("t.type = 'blob'").select("t.path", "t.size", F.concat(F.lit(f"{site}/{repo}/blob/{branch}/"), F.col("t.path")).alias("url"))
 
 
-def write_by_repo(df: DataFrame, path: str) -> None:
-    """Replaces the partitions of the repositories in ``df`` only."""
+def write_by_repo(df: DataFrame, path: str, emptied: list[str] | None = None) -> None:
+    """Replaces the partitions of the repositories in ``df`` only, and deletes those of the
+    ``emptied`` repositories, which have no rows any more."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
+    spark = df.sparkSession
+    for repo in emptied or []:
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("repo", repo)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path, name)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_state(df: DataFrame, path: str) -> None:
+    """A small table, such as the registry or update metrics, as JSON."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def read_index(spark: SparkSession, path: str, legacy: str | None = None) -> DataFrame:

@@ -36,8 +36,10 @@ def process(events: DataFrame, handlers: dict[str, Callable[[DataFrame, int], No
     """Each micro-batch's rows go to the handler of their route."""
 
     def batch(df: DataFrame, number: int) -> None:
+        df.persist()  # read once for all routes
         for route, handle in handlers.items():
             handle(df.filter(F.col("route") == route), number)
+        df.unpersist()
 
     writer = routed(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

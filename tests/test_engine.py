@@ -69,11 +69,12 @@ def test_similarities_in_blocks_are_the_same(spark):
     e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, embedding array<float>")
     q = e.filter("id < 4").select(F.col("id").alias("issue"), F.col("embedding").alias("q"))
     whole = {tuple(r) for r in retrieval.similarities(q, e).select("issue", "id", "score").collect()}
-    old, retrieval.BROADCAST_ROWS = retrieval.BROADCAST_ROWS, 2
+    old = retrieval.BROADCAST_BYTES, retrieval.PART_ROWS
     try:
+        retrieval.BROADCAST_BYTES, retrieval.PART_ROWS = 0, 2
         assert whole == {tuple(r) for r in retrieval.similarities(q, e).select("issue", "id", "score").collect()}
     finally:
-        retrieval.BROADCAST_ROWS = old
+        retrieval.BROADCAST_BYTES, retrieval.PART_ROWS = old
 
 
 def test_latency_percentiles_by_index(spark):
@@ -134,7 +135,10 @@ def test_index_localise_and_update(spark, tmp_path):
     assert {r["issue"] for r in ranked.select("issue").distinct().collect()} == {1}
     new = files.withColumn("content", F.when(F.col("path") == "src/a.py", "def loaded(x):\n    return x\n").otherwise(F.col("content")))
     after = workflows.update_index(found, files, new)
-    full, _ = workflows.index_repository(new)
+    full, full_edges = workflows.index_repository(new)
+    rows = lambda df: {tuple(r) for r in df.select("repo", "src", "dst", "rel").collect()}
+    assert rows(workflows.update_graph(edges, files, new)) == rows(full_edges) != rows(edges)
+    assert workflows.update_graph(edges, files, files).exceptAll(edges).count() == 0
     key = lambda df: {(r["id"], r["name"]) for r in df.select("id", "name").collect()}
     assert key(after) == key(full)
 
@@ -191,3 +195,96 @@ def test_streamed_windows_and_state(spark, tmp_path):
 def test_embedding_reads_the_whole_text(spark):
     row = spark.createDataFrame([("a " * 1500,)], "t string").select(*[vectors.hashed_embedding(x).alias(n) for n, x in (("short", F.col("t")), ("long", F.concat("t", F.lit("zebra " * 2000))))]).first()
     assert row["short"] != row["long"]
+
+
+def test_rendering_parts(spark):
+    c = lambda x: F.lit(x)
+    assert [one(spark, render.highlight_name(c(p))) for p in ("a.py", "A.java", "a.c")] == ["python", "java", ""]
+    lines = one(spark, render.with_context(F.array(c("x")), c(2), c(1)))
+    assert len(lines) == 3 and lines[1] == "x"
+    assert one(spark, render.with_context(F.array(c("x")), c(0), c(0))) == ["x"]
+    section = one(spark, render.entity_section(c("f"), c("function"), c("a.py"), c(0.456), c("u"), c("why")))
+    assert "`f`" in section and "0.46" in section and section.endswith("why")
+    assert one(spark, render.entity_section(c("f"), c("function"), c("a.py"), c(0.5), c("u"), c(""))).endswith("0.50")
+    prompt = one(spark, render.prompt_candidate(c("1"), c("function"), c("a.py"), F.lit(None).cast("string"), c("f"), c("x" * 2000)))
+    assert prompt.startswith("ID: 1\nType: function") and prompt.count("x") == 1500
+    assert "none" in one(spark, render.graph_context(c("f"), F.array().cast("array<string>"), F.array(c("g"))))
+    assert "unknown error" in one(spark, render.error_comment(F.lit(None).cast("string")))
+    assert one(spark, render.candidate_line(c(1), c("f"), c("a.py"), c(""))) == "1. **`f`** in `a.py`\n\n"
+
+
+def test_small_functions(spark):
+    c = F.lit
+    assert one(spark, text.query_text(c("crash"), F.array(c("A"), c("B")), c("t"), c("b"))) == "crash A B"
+    assert len(one(spark, text.query_text(F.lit(None).cast("string"), F.array().cast("array<string>"), c("t" * 300), c("b")))) == 200
+    assert one(spark, text.safe_name(c("o/r"))) == "o_r"
+    assert [one(spark, text.is_prose_file(c(p))) for p in ("README.md", "docs/a.TXT", "a.py")] == [True, True, False]
+    assert one(spark, text.iso_utc(F.to_timestamp(c("2024-01-02 03:04:05")))) == "2024-01-02T03:04:05+00:00"
+    assert one(spark, vectors.or_zero(F.lit(None).cast("array<float>"), 3)) == [0.0, 0.0, 0.0]
+    assert one(spark, evaluation.tokens_used(F.lit(None).cast("int"), c(3), c(4))) == 7
+    assert {"java", "python"} <= set(parsing.registered())
+    assert [telemetry.range_interval(x) is not None for x in ("30m", "x")] == [True, True]
+    assert one(spark, telemetry.index_percentile(F.array(*[c(float(i)) for i in range(10)]), 0.95)) == 9.0
+    r = evaluation.entity_lists(spark.createDataFrame([(1, ["f", "g"], ["g", "C"], ["f"], ["f"])], "issue long, functions array<string>, classes array<string>, predicted_functions array<string>, predicted_classes array<string>")).first()
+    assert r["truth"] == ["f", "g", "C"] and r["predicted"] == ["f", "f"]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    df = spark.createDataFrame([("o/r", "1", "x"), ("o/s", "2", "y")], "repo string, id string, name string")
+    repository.write_by_repo(df, at("index"))
+    repository.write_by_repo(df.filter("repo = 'o/s'").withColumn("name", F.lit("z")), at("index"), emptied=["o/r"])
+    assert [(r["repo"], r["name"]) for r in repository.read_index(spark, at("index")).collect()] == [("o/s", "z")]
+    df.write.parquet(at("legacy"))
+    assert {(r["repo"], r["name"]) for r in repository.read_index(spark, at("index"), at("legacy")).collect()} == {("o/r", "x"), ("o/s", "z")}
+    runs = spark.createDataFrame([("o/r", "2024", 3, 4, 1.5, None), ("o/s", "2024", 0, 0, 0.1, "bad")], "repo_name string, timestamp string, files_indexed int, functions_count int, duration_seconds double, error string")
+    found = spark.createDataFrame([(7, "o/r", "2024", 12.0, "high", None)], "issue long, repo_name string, timestamp string, latency_ms double, confidence string, success boolean")
+    repository.append_json_lines(telemetry.indexing_events(runs), at("telemetry"))
+    repository.append_json_lines(telemetry.retrieval_events(found, 10), at("telemetry"))
+    rows = {(r["type"], r["repo_name"], r["success"], r["top_k"], r["error_msg"]) for r in repository.read_telemetry(spark, at("telemetry")).collect()}
+    assert rows == {("indexing", "o/r", True, None, None), ("error", "o/s", False, None, "bad"), ("retrieval", "o/r", True, 10, None)}
+    repository.write_state(df, at("state"))
+    assert repository.read_state(spark, at("state"), "repo string, id string, name string").exceptAll(df).count() == 0
+    df.limit(1).write.parquet(at("train"))
+    df.withColumn("extra", F.lit(1)).write.parquet(at("test"))
+    assert repository.read_splits(spark, [at("train"), at("test")]).count() in (3,)
+    (tmp_path / "tree.json").write_text(json.dumps({"tree": [{"path": "a.py", "type": "blob", "size": 3}, {"path": "d", "type": "tree"}]}))
+    assert [r["url"] for r in repository.read_tree_listing(spark, at("tree.json"), "https://x", "o/r", "main").collect()] == ["https://x/o/r/blob/main/a.py"]
+    repository.write_report({"sheet": df}, at("report"))
+    assert spark.read.option("header", True).csv(at("report/sheet")).count() == 2
+
+
+def test_registry_graph_and_installations(spark):
+    reg = spark.createDataFrame([("a", "c1", 1), ("a", "c2", 2), ("b", "c1", 1)], "repo string, commit_sha string, seq long")
+    assert {(r["repo"], tuple(r["commits"])) for r in incremental.versions(incremental.without_version(reg, "a", "c1")).collect()} == {("a", ("c2",)), ("b", ("c1",))}
+    assert incremental.without_version(reg, "a").count() == 1 and graph.without_repo(reg, "b").count() == 2
+    edges = spark.createDataFrame([("r", "1", "2", "IMPORTS"), ("r", "3", "2", "CALLS")], "repo string, src string, dst string, rel string")
+    assert [r["id"] for r in incremental.dependents(edges, spark.createDataFrame([("r", "2")], "repo string, id string")).collect()] == ["1"]
+    imports = spark.createDataFrame([("r", "src/a.py", ["from lib.b import x", "import os.path", "from . import y"]), ("r", "src/B.java", ["import lib.b.C;"])], "repo string, path string, imports array<string>")
+    assert {r["imported"] for r in graph.import_paths(imports).collect()} == {"lib/b", "os/path", "lib/b/C"}
+    files = spark.createDataFrame([("r", "x", "my/lib/b.py"), ("r", "y", "lib/b/C.java"), ("s", "z", "lib/b.py")], "repo string, id string, file_path string")
+    assert {r["dst"] for r in graph.module_edges(graph.import_paths(imports), files).collect()} == {"x", "y"}
+    installs = spark.createDataFrame([("installation", "o/r", None, "x"), ("installation", "o/s", "dev", "x")], "event string, repo string, default_branch string, before string")
+    assert [r["ref"] for r in events.as_pushes(installs).collect()] == ["refs/heads/main", "refs/heads/dev"]
+    ranked = spark.createDataFrame([(1, k, "e", 1.0 - k / 10) for k in range(4)], "issue long, id long, name string, score double")
+    assert [r["final_rank"] for r in retrieval.fallback_ranking(ranked, 2).collect()] == [1, 2]
+    changes = spark.createDataFrame([("r", "a.py", "M"), ("r", "b.py", "A")], "repo string, path string, status string")
+    known = spark.createDataFrame([("r", "1", "a.py"), ("r", "2", "c.py")], "repo string, id string, file_path string")
+    assert [r["id"] for r in incremental.removed_ids(known, changes).collect()] == ["1"]
+
+
+def test_evaluation_of_a_ranking(spark):
+    ranking = spark.createDataFrame([(1, 1, "a.py"), (1, 2, "b.py"), (2, 1, "c.py")], "issue long, final_rank int, file_path string")
+    truth = spark.createDataFrame([(1, "a.py"), (2, "z.py")], "issue long, value string")
+    groups = spark.createDataFrame([(1, "r"), (2, "r")], "issue long, repo string")
+    metrics, summary = workflows.evaluate(ranking, truth, groups)
+    assert metrics.count() == 8
+    assert {r["repo"]: (r["hit"], r["issues"]) for r in summary.collect()} == {"r": (0.5, 2), "Total": (0.5, 2)}
+
+
+def test_comments(spark):
+    ranked = spark.createDataFrame([(1, 1, "function", "f", "a.py", 0.9, 3, "", 2, 2), (1, 2, "function", "g", "b.py", 0.1, 1, "why", 5, 9), (1, 3, "class", "C", "b.py", 0.1, 2, "why", 1, 9)], "issue long, id long, entity_type string, name string, file_path string, score double, final_rank int, reason string, start_line int, end_line int")
+    texts = spark.createDataFrame([(1, None, "h", ""), (2, "", None, None)], "issue long, analysis string, hypothesis string, plan string")
+    got = {r["seq"]: r["body"] for r in workflows.comments(ranked, texts, "o", "r").collect()}
+    assert set(got) == {1, 2} and got[2] == "## Analysis\n\n**Hypothesis:**\nh\n"
+    assert got[1].index("`g`") < got[1].index("`f`") and "b.py#L5-L9" in got[1] and "a.py#L2)" in got[1] and "`C`" not in got[1]
