@@ -101,7 +101,7 @@ class WordCache(dict):
 
     ENTRY = 200  # bytes of an entry's two objects and its place in the table, beside its characters
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 64 << 20):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 128 << 20):
         super().__init__()
         self.encode, self.limit, self.old, self.held = encode, limit, {}, 0
         _caches.append(self)
@@ -121,7 +121,11 @@ class WordCache(dict):
             self.old = dict(self)
             self.clear()
             self.held = 0
-        new = [w for w in words if w not in self and w not in self.old]
+        out = [w for w in words if w not in self]
+        back = [w for w in out if w in self.old]
+        if back:
+            self.add(back, [self.old[w] for w in back])
+        new = [w for w in out if w not in self.old]
         if new:
             self.add(new, self.encode(new))
 
