@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm._util import checkpointed, rows_of, tidy
-from codeloom.llm.tokens import encoder
+from codeloom.llm.tokens import CACHE_BYTES, encoder
 
 
 class _Counts:
@@ -191,12 +191,12 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[dict[int, np.ndarray],
     return {x: np.array(v, dtype=np.int64) for x, v in ranges.items()}, base
 
 
-def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """A row for each piece, with its rank among the pieces of its length and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy(keep_caches=True)
-        enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(vocabulary, cache_bytes), np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
@@ -218,10 +218,10 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
     return df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text").mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
 
 
-def pack_pieces(df: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_pieces(df: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = df.sparkSession
-    pieces = checkpointed(token_pieces(df, vocabulary, capacity, end_id, id_col, text_col))
+    pieces = checkpointed(token_pieces(df, vocabulary, capacity, end_id, id_col, text_col, cache_bytes))
     per_part = pieces.groupBy("length", "part").count()
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     ranges, _ = plan(counts, capacity)

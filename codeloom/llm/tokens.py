@@ -31,6 +31,7 @@ _LATIN = re.compile("[\x00-\xff]*")
 #: Both pre-tokenizers cut between a letter and a tail of these.
 _TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 LONG_WORD = 4096
+CACHE_BYTES = 128 << 20  # of a generation of the words known
 TOGETHER = 1 << 14  # characters
 MOST_TAILS = 100_000
 AT_ONCE = 100  # new words that go through the library in one text
@@ -160,8 +161,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache.limit = cache_bytes
     return _encoders[path]
