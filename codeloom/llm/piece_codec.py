@@ -76,8 +76,8 @@ class PieceCodec:
         solo = [c for c in "\n\t\r" if all(c not in p for p in ids)]  # in no piece: a boundary on both sides
         cls = re.escape("".join(solo))
         self.words = re.compile(f"[{cls}]|{SPACE}*[^{SPACE}{cls}]+|{SPACE}+" if solo else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache = WordCache(self._listed, 32 << 20)  # word -> its ids; strings only, which cost the garbage collector nothing
-        self.texts = WordCache(self._spelled, 32 << 20)  # ids of a word -> text
+        self.cache = WordCache(self._listed, 64 << 20)  # word -> its ids; strings only, which cost the garbage collector nothing
+        self.texts = WordCache(self._spelled, 64 << 20)  # ids of a word -> text
 
     def _index(self, keys: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> None:
         """An open-addressed table of pairs, at most half full."""
