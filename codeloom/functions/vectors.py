@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MODELS: dict[str, Callable[[list[str]], Sequence[Sequence[float]]]] = {}
+
 
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -33,3 +38,25 @@ def hashed_embedding(text: Column, dim: int = 64, most_chars: int | None = None)
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     cell = lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, F.when(h > 0, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.lit(0.0)))
     return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell))
+
+
+def model_embedding(name: str, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], batch: int = 32) -> Callable[[Column, int], Column]:
+    """An embedding by a model: ``load`` gives a function from texts to vectors. A worker loads the
+    model ``name`` once and keeps it; texts go to it in batches. Null texts count as empty."""
+
+    def embed(text: Column, dim: int) -> Column:
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from codeloom.functions import vectors  # the worker's own, which outlives the task
+
+            model = vectors.MODELS.get(name) or vectors.MODELS.setdefault(name, load())
+            for texts in parts:
+                words = texts.fillna("").tolist()
+                out = [list(map(float, v)) for i in range(0, len(words), batch) for v in model(words[i : i + batch])]
+                if any(len(v) != dim for v in out):
+                    raise ValueError(f"vectors of {name} have not {dim} dimensions")
+                yield pd.Series(out, dtype=object)
+
+        run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "array<double>")(text)
+
+    return embed

@@ -99,3 +99,39 @@ def tokens_used(row_input: Column, other_input: Column, output: Column) -> Colum
 def worst_first_sample(repos: DataFrame, n: int = 3) -> DataFrame:
     """The repositories with the fewest files."""
     return repos.orderBy("files", "repo").limit(n)
+
+
+LEVELS = {"retriever": (1, 5, 10, 20, 30), "file": (1, 3, 5, 10), "class": (1, 3, 5, 10), "function": (1, 3, 5, 10), "function_class": (1, 3, 5, 10)}
+
+
+def levelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predictions, truth) with a level each, of rows (issue, retrieved, predicted_files,
+    predicted_classes, predicted_functions, files, classes, functions): lists, best first.
+    Functions and classes together are one truth, each value once, and one list, functions first."""
+    both = rows.withColumns({"_p": F.concat("predicted_functions", "predicted_classes"), "_t": F.array_union("functions", "classes")})
+    listed = {"retriever": ("retrieved", "files"), "file": ("predicted_files", "files"), "class": ("predicted_classes", "classes"), "function": ("predicted_functions", "functions"), "function_class": ("_p", "_t")}
+    at = lambda side: F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.col(c[side]).alias("l")) for level, c in listed.items()])).alias("x")
+    p = both.select("issue", at(0)).select("x.level", "issue", F.posexplode("x.l").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
+    return p, both.select("issue", at(1)).select("x.level", "issue", F.explode("x.l").alias("value")).distinct()
+
+
+def level_metrics(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Metrics at each level's cut-offs and ``ap`` for (level, issue, pos, value) and
+    (level, issue, value): all levels in one job, as a level and an issue are one key."""
+    keyed = lambda df: df.withColumn("issue", F.struct("level", "issue")).drop("level")
+    p, g = keyed(predictions), keyed(truth)
+    cuts = sorted({k for ks in LEVELS.values() for k in ks})
+    wanted = F.exists(F.create_map(*[x for level, ks in LEVELS.items() for x in (F.lit(level), F.array(*map(F.lit, ks)))])[F.col("issue.level")], lambda k: k == F.col("k"))
+    rows = metrics_at_k(p, g, cuts).filter(wanted).join(average_precision(p, g), "issue")
+    return rows.select("issue.level", F.col("issue.issue").alias("issue"), *[c for c in rows.columns if c != "issue"])
+
+
+def level_summary(metrics: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
+    """By level and repository, and a total over all issues: hits at 1, 3 and 5, the others at ``k``. ``groups`` has (issue, repo)."""
+    hit = lambda n: F.max(F.when(F.col("k") == n, F.col("hit"))).alias(f"hit_{n}")
+    at = lambda c: F.max(F.when(F.col("k") == k, F.col(c))).alias(c)
+    named = ["precision_ref", "recall", "all_correct", "all_incorrect"]
+    wide = metrics.groupBy("level", "issue").agg(hit(1), hit(3), hit(5), *map(at, named)).join(groups, "issue")
+    means = [F.avg(c).alias(c) for c in ("hit_1", "hit_3", "hit_5", *named)]
+    out = wide.groupingSets([["level", "repo"], ["level"]], "level", "repo").agg(*means, F.count(F.lit(1)).alias("issues"), F.grouping("repo").alias("_all"))
+    return out.withColumn("repo", F.when(F.col("_all") == 1, F.lit("Total")).otherwise(F.col("repo"))).drop("_all")

@@ -235,3 +235,32 @@ def diff_entities(diffs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "file_path", "line", "context"])
 
     return diffs.select(F.col("id").cast("string").alias("id"), "diff").mapInPandas(run, "id string, file_path string, line int, context string")
+
+
+def diff_hunks(diffs: DataFrame) -> DataFrame:
+    """(id, diff) to (id, seq, file_path, context, lines): each hunk with the new numbers of its
+    added lines; a file also has one row without a context."""
+
+    def rows(diff: str) -> Iterator[list]:
+        path, hunk, at = None, None, 0
+        for row in diff.split("\n"):
+            if row.startswith(("diff --git", "+++ b/")):
+                path = row.split(" b/")[-1] if row.startswith("diff") else row[6:].strip()
+                hunk = [path, None, []]
+                yield hunk
+            elif m := re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@\s*(.*)", row):
+                at, hunk = int(m[1]), [path, m[2], []]
+                yield hunk
+            elif row.startswith("+") and not row.startswith("+++"):
+                if hunk is not None:
+                    hunk[2].append(at)
+                at += 1
+            elif row.startswith(" "):
+                at += 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(key, i, *hunk) for key, diff in zip(pdf["id"], pdf["diff"], strict=True) for i, hunk in enumerate(list(rows(diff or "")))]
+            yield pd.DataFrame(out, columns=["id", "seq", "file_path", "context", "lines"])
+
+    return diffs.select(F.col("id").cast("string").alias("id"), "diff").mapInPandas(run, "id string, seq int, file_path string, context string, lines array<int>")

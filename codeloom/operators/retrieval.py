@@ -16,17 +16,18 @@ BROADCAST_BYTES = 32 << 20
 PART_ROWS = 50_000  # entities of a part that meets all queries
 
 
-def similarities(queries: DataFrame, entities: DataFrame) -> DataFrame:
+def similarities(queries: DataFrame, entities: DataFrame, within: str | None = None) -> DataFrame:
     """Every stated query against every entity: ``queries`` (issue, q), ``entities`` with id
-    and embedding. A query set whose measured bytes are few is broadcast; a larger one is
-    sent to parts of the entities, which are moved once."""
+    and embedding; or against those with its value of ``within``, a column of both. A query
+    set whose measured bytes are few is broadcast; a larger one is sent to parts of the
+    entities, which are moved once."""
     size = queries.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        met = entities.crossJoin(F.broadcast(queries))
+        met = entities.join(F.broadcast(queries), within) if within else entities.crossJoin(F.broadcast(queries))
     else:
         parts = -(-entities.count() // PART_ROWS)
         sent = queries.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, parts - 1)).cast("long"))))
-        met = entities.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(max(1, parts)))).join(sent, "_part").drop("_part")
+        met = entities.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(max(1, parts)))).join(sent, ["_part", within] if within else ["_part"]).drop("_part")
     return met.withColumn("score", inner_product(F.col("embedding"), F.col("q"))).drop("embedding", "q")
 
 

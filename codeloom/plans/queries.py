@@ -549,9 +549,46 @@ def diff_entities(spark, sf_dir):
     return d.select("id", "file_path", "line", text.hunk_entity(F.col("context"), F.lit("python"))["name"].alias("name"))
 
 
+@query("WITH d AS (SELECT *, 'o/' || source AS repository FROM documents WHERE source IS NOT NULL), r AS (SELECT repository, arg_min(doc_id % 97, doc_id) AS total_files, arg_min(n_chars, doc_id) AS lines FROM d GROUP BY ALL HAVING count(*) >= 10 ORDER BY total_files, repository LIMIT 3), i AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY doc_id) AS n FROM d JOIN r USING (repository)) SELECT repository, doc_id AS pos, total_files, lines // 50 AS size_kb, 'src/m' || doc_id || '.py' AS changed_files, CASE WHEN doc_id % 2 = 0 THEN 'C' || doc_id ELSE '' END AS changed_classes, CASE WHEN doc_id % 2 = 1 THEN 'f' || doc_id ELSE '' END AS changed_functions, (doc_id % 50 + 2) || ',' || (doc_id % 50 + 3) AS changed_lines FROM i WHERE n <= 10")
+def prepared_dataset(spark, sf_dir):
+    from codeloom.plans import datasets
+
+    k, null = F.col("doc_id").cast("string"), F.lit(None).cast("string")
+    path = F.concat(F.lit("src/m"), k, F.lit(".py"))
+    what = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("class C"), k, F.lit(":"))).otherwise(F.concat(F.lit("def f"), k, F.lit("(x):")))
+    diff = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,3 +"), (F.col("doc_id") % 50 + 1).cast("string"), F.lit(",4 @@ "), what, F.lit("\n a\n-b\n+c\n+d\n e"))
+    rows = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("doc_id").alias("pos"), F.lit("o").alias("repo_owner"), F.col("source").alias("repo_name"), null.alias("html_url"), null.alias("issue_url"), (F.col("doc_id") % 97).alias("repo_files"), F.col("n_chars").alias("repo_lines"), F.lit(0).alias("repo_stars"), null.alias("repo_language"), k.alias("issue_title"), F.col("text").alias("issue_body"), diff.alias("diff"), null.alias("diff_url"))
+    p = datasets.prepared(rows, "python")
+    return p.select("repository", "pos", "total_files", "size_kb", *[F.array_join(c, ",").alias(c) for c in ("changed_files", "changed_classes", "changed_functions")], F.array_join(F.transform("changed_lines", lambda x: x.cast("string")), ",").alias("changed_lines"))
+
+
 # --- workflow ----------------------------------------------------------------------------------
 
 
+@query(RANKED_SQL + " SELECT issue, count(*)::INTEGER AS n, string_agg(file_path || '|' || name || '|python', ',' ORDER BY final_rank) AS top_files FROM f WHERE entity_type = 'function' GROUP BY issue")
+def workflow_results(spark, sf_dir):
+    from codeloom.plans import workflows
+
+    ranked = ranking(spark, sf_dir)
+    r = workflows.results(ranked, workflows.default_texts(ranked))
+    return r.select("issue", F.size("top_files").alias("n"), F.array_join(F.transform("top_files", lambda x: F.concat_ws("|", x["file_path"], x["name"], x["language"])), ",").alias("top_files"))
+
+
+@query("WITH j AS (SELECT o_orderpriority AS repo, o_orderkey, min(CASE WHEN l_partkey % 10 = o_custkey % 10 THEN pos END) AS pf, min(CASE WHEN l_suppkey % 7 = o_custkey % 7 THEN pos END) AS pc FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 10, l_suppkey % 7) AS pos FROM lineitem) ON l_orderkey = o_orderkey GROUP BY ALL), x AS (SELECT repo, 'file' AS level, pf AS p FROM j UNION ALL SELECT repo, 'function', pc FROM j) SELECT level, coalesce(repo, 'Total') AS repo, round(avg(coalesce(p <= 1, false)::INTEGER), 6) AS hit_1, round(avg(coalesce(p <= 3, false)::INTEGER), 6) AS hit_3, round(avg(coalesce(p <= 5, false)::INTEGER), 6) AS recall, round(avg(1 - coalesce(p <= 5, false)::INTEGER), 6) AS all_incorrect, count(*) AS issues FROM x GROUP BY GROUPING SETS ((level, repo), (level))")
+def evaluation_levels(spark, sf_dir):
+    from codeloom.plans import workflows
+
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("issue"), F.struct("l_linenumber", F.concat(F.lit("f"), (F.col("l_partkey") % 10).cast("string")).alias("f"), F.concat(F.lit("g"), (F.col("l_suppkey") % 7).cast("string")).alias("g")).alias("x"))
+    lists = items.groupBy("issue").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("issue"), F.col("o_orderpriority").alias("repo"), "o_custkey")
+    none = F.array().cast("array<string>")
+    of = lambda c: F.coalesce(F.transform("x", lambda x: x[c]), none)
+    true = lambda p, n: F.array(F.concat(F.lit(p), (F.col("o_custkey") % n).cast("string")))
+    rows = o.join(lists, "issue", "left").select("issue", none.alias("retrieved"), of("f").alias("predicted_files"), none.alias("predicted_classes"), of("g").alias("predicted_functions"), true("f", 10).alias("files"), none.alias("classes"), true("g", 7).alias("functions"))
+    s = workflows.evaluate_levels(rows, o.select("issue", "repo"))[1].filter(F.col("level").isin("file", "function"))
+    return s.select("level", "repo", *[F.round(c, 6).alias(c) for c in ("hit_1", "hit_3", "recall", "all_incorrect")], "issues")
+
+
 @query()
 def localise_issues(spark, sf_dir):
     from codeloom.plans import workflows

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import render
-from codeloom.functions.text import clean_text, long_enough
+from codeloom.functions.text import clean_text, language_of, long_enough
 from codeloom.functions.vectors import hashed_embedding
 from codeloom.operators import evaluation, graph, incremental, parsing, retrieval
 
@@ -28,6 +29,43 @@ class Settings:
             raise ValueError("all settings are at least 1")
 
 
+@dataclass
+class UpdateSettings:
+    """How indexes are kept up to date."""
+
+    incremental: bool = True
+    log_updates: bool = True
+    most_changes: int = 50
+    timeout_seconds: int = 300
+    retries: int = 2
+    parallel_files: int = 4
+    batch: int = 16
+    retention_days: int = 90
+    repositories: str = "repositories"
+    store: str = "indices"
+
+    @classmethod
+    def of(cls, values: Mapping[str, str]) -> UpdateSettings:
+        """From texts, such as a session's settings; what is absent, or no number, is the default."""
+        out = {}
+        for f in fields(cls):
+            text = values.get(f.name)
+            if text is None:
+                continue
+            if isinstance(f.default, bool):
+                out[f.name] = text.lower() in ("true", "1", "yes", "on")
+            elif isinstance(f.default, str):
+                out[f.name] = text
+            elif re.fullmatch(r"\s*[+-]?\d+\s*", text):
+                out[f.name] = int(text)
+        return cls(**out)
+
+    def problems(self) -> list[str]:
+        """Names of settings whose values are not allowed."""
+        least = {"most_changes": 1, "timeout_seconds": 1, "retries": 0, "parallel_files": 1, "batch": 1, "retention_days": 1}
+        return [n for n, low in least.items() if getattr(self, n) < low] + [n for n in ("repositories", "store") if not getattr(self, n)]
+
+
 def index_repository(files: DataFrame, settings: Settings | None = None, embed: Callable[[Column, int], Column] = hashed_embedding) -> tuple[DataFrame, DataFrame]:
     """(entities with embeddings, edges) of source files."""
     settings = settings or Settings()
@@ -42,12 +80,14 @@ def index_repository(files: DataFrame, settings: Settings | None = None, embed:
 
 
 def localise(issues: DataFrame, entities: DataFrame, edges: DataFrame, settings: Settings | None = None, select: Callable[[DataFrame], DataFrame] = retrieval.default_selection, embed: Callable[[Column, int], Column] = hashed_embedding) -> DataFrame:
-    """Ranked candidates of (issue, title, body, is_test_related); too short issues have none."""
+    """Ranked candidates of (issue, title, body, is_test_related); too short issues have none.
+    Issues with a ``repo`` are held against that repository's entities only."""
     settings = settings or Settings()
+    within = ["repo"] if "repo" in issues.columns else []
     text = F.concat_ws("\n", "title", "body")
-    asked = issues.filter(long_enough(clean_text(text))).select("issue", F.coalesce("is_test_related", F.lit(False)).alias("is_test_related"), embed(clean_text(text), settings.dim).alias("q"))
-    known = entities.select("id", "entity_type", "name", "file_path", "embedding")
-    ranked = retrieval.top_k(retrieval.similarities(asked, known), settings.fetched + 10)
+    asked = issues.filter(long_enough(clean_text(text))).select("issue", F.coalesce("is_test_related", F.lit(False)).alias("is_test_related"), embed(clean_text(text), settings.dim).alias("q"), *within)
+    known = entities.select("id", "entity_type", "name", "file_path", "embedding", *within)
+    ranked = retrieval.top_k(retrieval.similarities(asked, known, *within), settings.fetched + 10)
     kept = retrieval.without_tests(ranked, settings.fetched).select("issue", "id", "entity_type", "name", "file_path", "score")
     nodes = graph.nodes(entities)
     parents = graph.ancestors(edges).join(nodes.select(F.col("id").alias("ancestor"), F.lower("label").alias("entity_type"), "name", "file_path"), "ancestor")
@@ -57,12 +97,13 @@ def localise(issues: DataFrame, entities: DataFrame, edges: DataFrame, settings:
     return retrieval.final_ranking(full, chosen).join(around, "id", "left")
 
 
-def comments(ranked: DataFrame, texts: DataFrame, owner: str, name: str, branch: str = "main") -> DataFrame:
+def comments(ranked: DataFrame, texts: DataFrame, owner: str | Column, name: str | Column, branch: str | Column = "main") -> DataFrame:
     """(issue, seq, body): the functions where the bug is likely to be; an analysis, if (issue,
     analysis, hypothesis, plan) has one; a plan, if there is one. ``ranked`` has a final
-    ranking with reasons and lines."""
+    ranking with reasons and lines; owner, name and branch are texts or columns of it."""
+    lit = lambda c: c if isinstance(c, Column) else F.lit(c)
     named = retrieval.comment_candidates(ranked)
-    link = render.permalink(F.lit(owner), F.lit(name), F.lit(branch), F.col("file_path"), F.col("start_line"), F.col("end_line"))
+    link = render.permalink(lit(owner), lit(name), lit(branch), F.col("file_path"), F.col("start_line"), F.col("end_line"))
     line = F.struct("rank", render.candidate_line(F.col("rank"), F.col("name"), F.col("file_path"), link).alias("line"))
     listed = named.groupBy("issue").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     first = listed.select("issue", F.lit(1).alias("seq"), F.concat(F.lit("## Bug localisation\n\n### Functions where the bug is likely to be\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "")).alias("body"))
@@ -80,6 +121,21 @@ def default_texts(ranked: DataFrame, most: int = 3) -> DataFrame:
     return best.select("issue", F.concat(F.lit("Closest to the report: "), names, F.lit(".")).alias("analysis"), F.lit(None).cast("string").alias("hypothesis"), F.lit(None).cast("string").alias("plan"))
 
 
+def results(ranked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(issue, top_files, analysis, hypothesis, plan), the workflow's result: a row of
+    (final_rank, file_path, score, name, language) for each candidate function, in order; issues
+    without one are absent."""
+    row = F.struct("final_rank", "file_path", F.coalesce("score", F.lit(0.0)).alias("score"), "name", language_of(F.col("file_path"), default="unknown").alias("language"))
+    listed = ranked.filter(F.col("entity_type") == "function").groupBy("issue").agg(F.array_sort(F.collect_list(row)).alias("top_files"))
+    return listed.join(texts.select("issue", "analysis", "hypothesis", "plan"), "issue", "left")
+
+
+def evaluate_levels(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(metrics, summary) of all five levels: ``rows`` as for ``evaluation.levelled``, ``groups`` (issue, repo)."""
+    metrics = evaluation.level_metrics(*evaluation.levelled(rows))
+    return metrics, evaluation.level_summary(metrics, groups)
+
+
 def evaluate(ranking: DataFrame, truth: DataFrame, group: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> tuple[DataFrame, DataFrame]:
     """(metrics by issue and k, summary by repository with a total) of file predictions."""
     predictions = evaluation.distinct_predictions(ranking.select("issue", F.col("final_rank").alias("pos"), F.col("file_path").alias("value")))

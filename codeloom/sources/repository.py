@@ -29,13 +29,23 @@ def write_by_repo(df: DataFrame, path: str, emptied: list[str] | None = None) ->
     """Replaces the partitions of the repositories in ``df`` only, and deletes those of the
     ``emptied`` repositories, which have no rows any more."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
-    spark = df.sparkSession
-    for repo in emptied or []:
+    delete_repos(df.sparkSession, path, emptied or [])
+
+
+def delete_repos(spark: SparkSession, path: str, repos: list[str]) -> None:
+    for repo in repos:
         name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("repo", repo)
         where = spark._jvm.org.apache.hadoop.fs.Path(path, name)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there: a folder with at least one file or partition."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(where) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(where))
+
+
 def write_state(df: DataFrame, path: str) -> None:
     """A small table, such as the registry or update metrics, as JSON."""
     df.write.mode("overwrite").json(path)
