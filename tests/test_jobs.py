@@ -1,4 +1,4 @@
-"""Streams over a store, dataset preparation, levels of evaluation, settings."""
+"""Streams over a store, dataset preparation, levels of evaluation, settings, localisation by brute force."""
 
 import json
 
@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import vectors
 from codeloom.operators import evaluation, parsing
-from codeloom.plans import datasets, workflows
+from codeloom.plans import datasets, queries, workflows
 from codeloom.sources import repository
 from codeloom.streaming import events, jobs
 
 FILES = "repo string, path string, language string, content string"
+SF = "/root/testdata/sf0.001"
 
 
 def test_store_follows_pushes_issues_and_removals(spark, tmp_path):
@@ -103,3 +104,41 @@ def test_update_settings():
     s = workflows.UpdateSettings.of({"incremental": "off", "most_changes": "7", "retries": "x", "store": ""})
     assert (s.incremental, s.most_changes, s.retries) == (False, 7, 2) and s.problems() == ["store"]
     assert workflows.UpdateSettings(batch=0, retries=-1).problems() == ["retries", "batch"] and not workflows.UpdateSettings().problems()
+
+def test_localise_issues_by_brute_force(spark):
+    import xxhash
+
+    entities, _ = workflows.index_repository(queries.source_files(spark, SF))
+    known = {r["id"]: r for r in entities.collect()}
+    by = {(r["file_path"], r["entity_type"], r["name"]): r["id"] for r in known.values()}
+
+    def embedded(words):
+        v = [0.0] * 64
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            v[h % 64] += 1.0 if 0 < h < 1 << 63 else -1.0
+        return [x / sum(y * y for y in v) ** 0.5 for x in v]
+
+    def parents(r):
+        k = r["file_path"][1:-3]
+        up = [by[r["file_path"], "file", r["file_path"]]] if r["entity_type"] != "file" else []
+        return up + ([by[r["file_path"], "class", f"C{k}"]] if r["name"] == f"run_{k}" else [])
+
+    want = {}
+    for issue in range(25):
+        q = embedded(["helper_" + str(issue), "fails", "when", "run", "with", "a", "wrong", "number"])
+        score = {i: sum(x * y for x, y in zip(r["embedding"], q, strict=True)) for i, r in known.items()}
+        kept = sorted(known, key=lambda i: (-score[i], i))[:60]
+        score = {i: score[i] for i in kept} | {p: 0.0 for i in kept for p in parents(known[i]) if p not in kept}
+        order = sorted(score, key=lambda i: (-score[i], i))
+        chosen = [i for kind in ("function", "class", "file") for i in [i for i in order if known[i]["entity_type"] == kind][:3]]
+        for rank, i in enumerate(chosen + [i for i in order if known[i]["entity_type"] == "function" and i not in chosen], 1):
+            want[issue, i] = (rank, score[i])
+    got = queries.localise_issues(spark, SF).collect()
+    assert {(r["issue"], r["id"]): r["final_rank"] for r in got} == {k: rank for k, (rank, _) in want.items()}
+    assert all(abs(r["score"] - want[r["issue"], r["id"]][1]) < 1e-6 for r in got)
+    parts = [int(r["file_path"][1:-3]) for r in known.values() if r["entity_type"] == "file"]
+    for r in got:
+        kind, _, k = r["name"].partition("_")
+        assert r["callees"] == ([f"helper_{int(k) % 5 + 1}"] if kind == "run" else [])
+        assert r["callers"] == (sorted(f"run_{p}" for p in parts if p % 5 + 1 == int(k)) if kind == "helper" else [])
