@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LANGUAGES = {".py": "python", ".java": "java"}
 #: Directories that a repository scan leaves out.
 EXCLUDED_DIRS = [".git", "__pycache__", "venv", "env", ".venv", "node_modules", "build", "dist", "target", ".idea", "out"]
+#: Unicode's space separators.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Cleaning patterns in order: Markdown headers, links, fenced code, inline code, tags, URLs, other characters, blanks.
 CLEANING = [
     (r"(?m)^#+\s+", ""),
@@ -48,7 +50,7 @@ def long_enough(c: Column, least: int = 5) -> Column:
 
 def compact_prompt(c: Column) -> Column:
     """Tabs to four blanks, lines without trailing blanks, no empty lines."""
-    lines = F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit("    ")), "\n"), F.rtrim)
+    lines = F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit("    ")), "\n"), lambda x: F.rtrim(x, F.lit(BLANKS)))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
