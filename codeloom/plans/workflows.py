@@ -87,7 +87,8 @@ def localise(issues: DataFrame, entities: DataFrame, edges: DataFrame, settings:
     text = F.concat_ws("\n", "title", "body")
     asked = issues.filter(long_enough(clean_text(text))).select("issue", F.coalesce("is_test_related", F.lit(False)).alias("is_test_related"), embed(clean_text(text), settings.dim).alias("q"), *within)
     known = entities.select("id", "entity_type", "name", "file_path", "embedding", *within)
-    ranked = retrieval.top_k(retrieval.similarities(asked, known, *within), settings.fetched + 10)
+    fetched = settings.fetched + 10
+    ranked = retrieval.top_k(retrieval.similarities(asked, known, *within), fetched) if within else retrieval.nearest(asked, known, fetched)
     kept = retrieval.without_tests(ranked, settings.fetched).select("issue", "id", "entity_type", "name", "file_path", "score")
     nodes = graph.nodes(entities)
     parents = graph.ancestors(edges).join(nodes.select(F.col("id").alias("ancestor"), F.lower("label").alias("entity_type"), "name", "file_path"), "ancestor")

@@ -3,9 +3,34 @@
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
+from codeloom.operators import retrieval
 
 
 def test_prompt_lines_lose_blanks_not_digits(spark):
     rows = [("a0\nb1  \nc2\t\n  \nd　",), (None,)]
     df = spark.createDataFrame(rows, "t string").select(text.compact_prompt(F.col("t")).alias("x"))
     assert [r["x"] for r in df.collect()] == ["a0\nb1\nc2\nd", ""]
+
+
+def test_nearest_is_top_k_of_all_pairs(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    odd = [(9001, None), (9002, [1.0, None, 0.0]), (9003, [nan, 0.0, 1.0]), (9004, [inf, 1.0, 0.0]), (9005, [1.0]), (9006, [1e38, -1e38, 3.0]), (None, [0.5, 0.5, 0.5])]
+    rows = [(i, [((i * 37) % 11) / 7, ((i * 53) % 13) / 3 - 1, float(i % 2)]) for i in range(400)] + odd
+    e = spark.createDataFrame(rows, "id long, embedding array<float>").withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))).repartition(3)
+    q = e.filter("id % 40 = 0 OR id > 9000").select(F.col("id").alias("issue"), F.col("embedding").alias("q"))
+    text_ids = e.withColumn("id", F.col("name"))
+    for entities, k in ((e, 1), (e, 25), (text_ids, 25), (e, 1000)):
+        want = sorted(map(str, retrieval.top_k(retrieval.similarities(q, entities), k).select("issue", "id", "name", "score", "rank").collect()))
+        for few, cells, pending, blocks in ((512, 1 << 22, 1 << 21, 2048), (0, 64, 50, 4)):
+            for name, value in (("FEW_QUERIES", few), ("CELLS", cells), ("PENDING", pending), ("BLOCK_QUERIES", blocks)):
+                monkeypatch.setattr(retrieval, name, value)
+            got = retrieval.nearest(q, entities, k).select("issue", "id", "name", "score", "rank")
+            assert sorted(map(str, got.collect())) == want
+    assert retrieval.nearest(q.filter("false"), e, 3).count() == 0 and retrieval.nearest(q, e.filter("false"), 3).count() == 0
+
+
+def test_default_ranking_is_the_selection_joined(spark):
+    rows = [(i % 3, i, ("function", "class", "file")[i % 4 % 3], "n", "f", (i * 7 % 10) / 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "issue long, id long, entity_type string, name string, file_path string, score double")
+    cols = ["issue", "id", "pos", "reason", "final_rank"]
+    assert sorted(map(str, retrieval.default_ranking(df).select(cols).collect())) == sorted(map(str, retrieval.final_ranking(df, retrieval.default_selection(df)).select(cols).collect()))
