@@ -15,10 +15,17 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is evaluated once, however often ``f`` names it; by itself Spark
+    evaluates what a lambda names again for each element."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """L2-normalised; a zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    scaled = lambda w, n: F.transform(w, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bound(v, lambda w: bound(norm(w), lambda n: scaled(w, n)))
 
 
 def or_zero(v: Column, dim: int) -> Column:
@@ -35,9 +42,11 @@ def hashed_embedding(text: Column, dim: int = 64, most_chars: int | None = None)
     The whole text counts, unless ``most_chars`` is given."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(F.lower(text if most_chars is None else F.substring(text, 1, most_chars)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    cell = lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, F.when(h > 0, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.lit(0.0)))
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell))
+    # Each hash as its cell, from 1, with its sign: the sum of a cell is the number of its positive hashes less that of the others.
+    signed = F.transform(words, lambda w: bound(F.xxhash64(w), lambda h: F.when(h > 0, F.pmod(h, F.lit(dim)) + 1).otherwise(-1 - F.pmod(h, F.lit(dim)))))
+    count = lambda all_, x: F.size(F.filter(all_, lambda y: y == x)).cast("double")
+    cells = lambda s: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: count(s, i) - count(s, -i))
+    return unit(bound(signed, cells))
 
 
 def model_embedding(name: str, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], batch: int = 32) -> Callable[[Column, int], Column]:
