@@ -23,6 +23,8 @@ FUNCTION = "struct<name:string,signature:string,start_line:int,end_line:int,docs
 CLASS = "struct<name:string,start_line:int,end_line:int,functions:array<string>,docstring:string,class_type:string>"
 SCHEMA = f"repo string, path string, language string, functions array<{FUNCTION}>, classes array<{CLASS}>, imports array<string>, calls map<string,array<string>>, error string"
 
+PIECE_FILES, PIECE_CHARS = 256, 1 << 20
+
 _parsers: dict[str, Callable[[str], tuple[list, list, list, dict]]] = {}
 
 
@@ -79,6 +81,7 @@ def parse_python(text: str) -> tuple[list, list, list, dict]:
                 walk(x, cls)
 
     walk(tree, None)
+    del walk  # it names itself, and would hold what was found until a late collection
     return functions, classes, imports, calls
 
 
@@ -157,13 +160,24 @@ register_parser("python", parse_python)
 register_parser("java", parse_java)
 
 
+def _pieces(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of ``pdf``, few files and about a million characters at a time: what is found in a file takes many times its size."""
+    piece = pdf["content"].str.len().fillna(0).cumsum().floordiv(PIECE_CHARS).to_numpy()
+    cuts = [0]
+    for i in range(1, len(pdf)):
+        if i - cuts[-1] >= PIECE_FILES or piece[i] != piece[i - 1]:
+            cuts.append(i)
+    for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
+        yield pdf.iloc[a:b]
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Rows of ``files`` (repo, path, language, content) with what they declare; a file that
     cannot be parsed has its error, and nothing else fails for it."""
     parsers = dict(_parsers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in _pieces(whole)):
             rows = []
             for repo, path, language, content in zip(pdf["repo"], pdf["path"], pdf["language"], pdf["content"], strict=True):
                 parse, error = parsers.get(language), None
@@ -182,14 +196,14 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def entities(parsed: DataFrame) -> DataFrame:
-    """One row for each function, class and file, with its stable id."""
-    base = ["repo", F.col("path").alias("file_path"), "language"]
-    fn = parsed.select(*base, F.explode("functions").alias("f")).select("repo", "file_path", "language", F.lit("function").alias("entity_type"), "f.name", "f.class_name", "f.start_line", "f.end_line", "f.signature", "f.docstring", "f.body")
-    fn = fn.withColumn("id", stable_id(F.col("repo"), F.col("file_path"), F.col("name"), F.col("start_line")))
-    cls = parsed.select(*base, F.explode("classes").alias("c")).select("repo", "file_path", "language", F.lit("class").alias("entity_type"), "c.name", F.col("c.name").alias("class_name"), "c.start_line", "c.end_line", F.concat(F.lit("class "), "c.name").alias("signature"), "c.docstring", F.lit(None).cast("string").alias("body"))
-    cls = cls.withColumn("id", stable_id(F.col("repo"), F.col("file_path"), F.col("name")))
-    file = parsed.select(*base).withColumns({"entity_type": F.lit("file"), "name": F.element_at(F.split("file_path", "/"), -1), "class_name": F.lit(None).cast("string"), "start_line": F.lit(None).cast("int"), "end_line": F.lit(None).cast("int"), "signature": F.lit(None).cast("string"), "docstring": F.lit(None).cast("string"), "body": F.lit(None).cast("string")})
-    return fn.unionByName(cls).unionByName(file.withColumn("id", stable_id(F.col("repo"), F.col("file_path"))))
+    """One row for each function, class and file, with its stable id; files are parsed once for all."""
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    path, kind = F.col("path"), lambda x: F.lit(x).alias("entity_type")
+    listed = lambda c, of: F.coalesce(F.transform(c, of), F.array())
+    fn = listed("functions", lambda f: F.struct(kind("function"), f["name"].alias("name"), f["class_name"].alias("class_name"), f["start_line"].alias("start_line"), f["end_line"].alias("end_line"), f["signature"].alias("signature"), f["docstring"].alias("docstring"), f["body"].alias("body"), stable_id(F.col("repo"), path, f["name"], f["start_line"]).alias("id")))
+    cls = listed("classes", lambda c: F.struct(kind("class"), c["name"].alias("name"), c["name"].alias("class_name"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line"), F.concat(F.lit("class "), c["name"]).alias("signature"), c["docstring"].alias("docstring"), null("body", "string"), stable_id(F.col("repo"), path, c["name"]).alias("id")))
+    file = F.array(F.struct(kind("file"), F.element_at(F.split(path, "/"), -1).alias("name"), null("class_name", "string"), null("start_line", "int"), null("end_line", "int"), null("signature", "string"), null("docstring", "string"), null("body", "string"), stable_id(F.col("repo"), path).alias("id")))
+    return parsed.select("repo", path.alias("file_path"), "language", F.explode(F.concat(fn, cls, file)).alias("e")).select("repo", "file_path", "language", "e.*")
 
 
 def call_pairs(parsed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from codeloom.functions import text, vectors
-from codeloom.operators import retrieval
+from codeloom.operators import parsing, retrieval
 
 
 def test_prompt_lines_lose_blanks_not_digits(spark):
@@ -48,3 +48,22 @@ def test_long_texts_are_embedded_in_short_time(spark):
         want[h % 64] += 1.0 if h > 0 else -1.0
     size = sum(x * x for x in want) ** 0.5
     assert row["v"] == [x / size for x in want] and time.time() - began < 30
+
+
+def test_files_are_parsed_in_pieces_and_leave_nothing(monkeypatch):
+    import gc
+
+    import pandas as pd
+
+    monkeypatch.setattr(parsing, "PIECE_CHARS", 10)
+    pdf = pd.DataFrame({"content": ["x" * 4, None, "x" * 40, "x"] + ["y"] * 600})
+    pieces = list(parsing._pieces(pdf))
+    assert pd.concat(pieces).equals(pdf) and max(map(len, pieces)) <= 256 and len(pieces) > 3
+    gc.collect()
+    gc.disable()
+    try:
+        functions = parsing.parse_python("def f(a):\n    return g(a)\n")[0]
+        held = [x for x in gc.get_objects() if getattr(x, "__name__", "") == "walk" and getattr(x, "__module__", "") == parsing.__name__]
+    finally:
+        gc.enable()
+    assert functions[0]["name"] == "f" and not held
