@@ -32,15 +32,18 @@ def metrics_at_k(predictions: DataFrame, truth: DataFrame, ks: Sequence[int] = (
     cuts = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     norm = lambda df: df.withColumn("value", normal_path(F.col("value")))
     p, g = norm(predictions.filter(F.col("pos") <= top)), norm(truth).select("issue", "value").distinct()
-    issues = predictions.select("issue").union(truth.select("issue")).distinct().select("issue", cuts)
+    issues = predictions.select("issue").union(truth.select("issue")).distinct()
     per_value = p.groupBy("issue", "value").agg(F.min("pos").alias("first"))
     met = per_value.join(g.withColumnRenamed("value", "gt"), "issue").filter(suffix_match(F.col("value"), F.col("gt")))
-    counted = lambda df, first, name: issues.join(df, "issue").filter(F.col(first) <= F.col("k")).groupBy("issue", "k").agg(F.count(F.lit(1)).alias(name))
-    tp = counted(met.select("issue", "value", "first").distinct(), "first", "tp")
-    found = counted(met.groupBy("issue", "gt").agg(F.min("first").alias("first")), "first", "found")
-    length = counted(p, "pos", "listed")
+    # Positions by issue; cut-offs are counted in them at the end, so that no step moves a row for each cut-off.
+    listed = lambda df, c, name: df.groupBy("issue").agg(F.collect_list(c).alias(name))
+    tp = listed(met.select("issue", "value", "first").distinct(), "first", "_tp")
+    found = listed(met.groupBy("issue", "gt").agg(F.min("first").alias("first")), "first", "_found")
+    length = listed(p, "pos", "_listed")
     size = g.groupBy("issue").agg(F.count(F.lit(1)).alias("truths"))
-    full = issues.join(tp, ["issue", "k"], "left").join(found, ["issue", "k"], "left").join(length, ["issue", "k"], "left").join(size, "issue", "left").fillna(0, ["tp", "found", "listed", "truths"])
+    full = issues.join(tp, "issue", "left").join(found, "issue", "left").join(length, "issue", "left").join(size, "issue", "left").fillna(0, ["truths"])
+    upto = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x <= F.col("k"))), F.lit(0)).cast("long")
+    full = full.select("*", cuts).select("issue", "k", "truths", *[F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(upto(F.col(c))).alias(c[1:]) for c in ("_tp", "_found", "_listed")])
     rated = full.withColumns({"recall": safe_ratio(F.col("found"), F.col("truths")), "precision_raw": safe_ratio(F.col("tp"), F.col("listed"))})
     rated = rated.withColumn("precision_ref", F.when(F.col("recall") >= 0.5, F.lit(1.0)).otherwise(F.col("precision_raw")))
     both = F.col("precision_ref") + F.col("recall")
