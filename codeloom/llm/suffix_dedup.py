@@ -57,7 +57,7 @@ GRAM = 24
 SHARD_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20  # of all documents, for each range of anchors
 LANE = 256  # places that one lane of Kasai's pass goes through
-PIECE = 1 << 19  # bytes hashed at a time
+PIECE = 1 << 16  # bytes hashed at a time, so that their hashes stay in the processor's cache
 HOT = 8_192  # occurrences from which an anchor's strings are sent one by one
 BATCH = 1 << 13  # contexts in one suffix array
 POWER = 0x9E3779B97F4A7C15
@@ -160,20 +160,21 @@ def suffix_array(symbols: np.ndarray, room: np.ndarray, longest: int) -> np.ndar
     return _refined(symbols, room, longest)[0]
 
 
-def _first_keys(symbols: np.ndarray, room: np.ndarray | None) -> tuple[np.ndarray, int]:
-    """For each place a number that is ordered as its first symbols are, and how many these are.
-    Without ``room`` the symbols are digits of a base that just holds the different ones."""
+def _first_keys(symbols: np.ndarray, room: np.ndarray | None, bits: int = 63) -> tuple[np.ndarray, int]:
+    """For each place a number of at most ``bits`` bits that is ordered as its first symbols are, and how
+    many these are. Without ``room`` the symbols are digits of a base that just holds the different ones."""
     n = len(symbols)
     key = np.zeros(n, dtype=np.int64)
     if room is not None:
-        padded = np.r_[symbols.astype(np.int64), np.zeros(SYMBOLS, dtype=np.int64)]
-        for k in range(SYMBOLS):
+        many = min(SYMBOLS, bits // 9)
+        padded = np.r_[symbols.astype(np.int64), np.zeros(many, dtype=np.int64)]
+        for k in range(many):
             key = (key << 9) | np.where(room > k, padded[k : k + n], 0)
-        return key, SYMBOLS
+        return key, many
     present = np.bincount(symbols, minlength=1) > 0
     base = max(2, int(present.sum()))
     many = 1
-    while base ** (many + 1) < 1 << 63:
+    while base ** (many + 1) < 1 << bits:
         many += 1
     digits = np.r_[(np.cumsum(present) - 1).astype(np.int16)[symbols], np.zeros(many, dtype=np.int16)]
     for a in range(0, n, KEYS):
@@ -187,42 +188,71 @@ def _first_keys(symbols: np.ndarray, room: np.ndarray | None) -> tuple[np.ndarra
     return key, many
 
 
+def _by_key(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys); equal keys stay in order. ``keys``, of ``bits`` bits, may be used up: with
+    their numbers below them where both fit, as sorting numbers is much faster than sorting places."""
+    low = max(1, int(len(keys) - 1).bit_length()) if len(keys) else 1
+    if bits + low > 63:
+        by = np.argsort(keys, kind="stable")
+        return by, keys[by]
+    keys <<= low
+    for a in range(0, len(keys), KEYS):
+        keys[a : a + KEYS] |= np.arange(a, min(a + KEYS, len(keys)), dtype=np.int64)
+    keys.sort()
+    by = np.empty(len(keys), dtype=np.int32)
+    for a in range(0, len(keys), KEYS):
+        by[a : a + KEYS] = keys[a : a + KEYS] & ((1 << low) - 1)
+    keys >>= low
+    return by, keys
+
+
 def _refined(symbols: np.ndarray, room: np.ndarray | None, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(order of all suffixes, where in it those stand that may share ``longest`` symbols
     with another). Without ``room`` the strings end with the symbol 0, what follows it
     decides between suffixes that are equal up to there, and refinement goes on until all
     ranks are single; with it, for as many symbols as the longest string has."""
     n = len(symbols)
-    kind = "stable" if room is not None else "quicksort"
-    key, depth = _first_keys(symbols, room)
-    order = np.argsort(key, kind=kind).astype(np.int32)
+    wide = max(1, n.bit_length())
+    key_bits = max(63 - wide, 9)
+    key, depth = _first_keys(symbols, room, key_bits)
     rank = np.empty(n, dtype=np.int32)
 
-    def rerank(places: np.ndarray, keys: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    def rerank(places: np.ndarray, keys: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """New ranks of ``places`` (sorted by ``keys``; ``begin``: where each stands in the
-        order): the first place of its group. Returns what is not yet single."""
-        new = np.r_[True, keys[1:] != keys[:-1]]
-        head = np.flatnonzero(new)
-        size = np.diff(np.r_[head, len(places)])
+        order): the first place of its group. Returns what is not yet single, and its groups' numbers."""
+        new = np.ones(len(keys), dtype=bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        head = np.flatnonzero(new).astype(np.int32)
+        size = np.diff(head, append=np.int32(len(places)))
         rank[places] = np.repeat(begin[head], size)
-        return np.repeat(size > 1, size)
+        several = size > 1
+        return np.repeat(several, size), np.repeat(np.arange(int(several.sum()), dtype=np.int32), size[several])
 
     if not n:
+        order = np.zeros(0, dtype=np.int32)
         return order, order
+    order, key = _by_key(key, key_bits)
+    order = order.astype(np.int32, copy=False)
     at = np.arange(n, dtype=np.int32)
-    at = at[rerank(order, key[order], at)]
-    del key
+    some, group = rerank(order, key, at)
+    at = at[some]
+    del key, some
     last = at
     while len(at) and (depth < longest or room is None):
         last = at if depth < longest else last
         places = order[at]
-        further = places + np.int32(depth)
+        further = places + np.int32(min(depth, n))
         after = rank[np.minimum(further, n - 1)] + 1
         after[(further >= n) if room is None else (room[places] <= depth)] = 0
-        keys = (rank[places].astype(np.int64) << 32) | after
-        by = np.argsort(keys, kind=kind)
+        bits = wide + int(group[-1]).bit_length()  # groups are numbered in their order
+        keys = group.astype(np.int64)
+        keys <<= wide
+        keys |= after
+        del further, after, group
+        by, keys = _by_key(keys, bits)
         order[at] = places = places[by]
-        at = at[rerank(places, keys[by], at)]
+        some, group = rerank(places, keys, at)
+        at = at[some]
         depth *= 2
     return order, last
 
