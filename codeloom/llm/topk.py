@@ -2,11 +2,13 @@
 
 Rows are packed into shards of a bounded number of bytes, queries into blocks. Each
 block of queries is sent to each shard, so that shards, the larger side, are moved
-once. In a shard every dimension has a sorted list. A query goes down the lists from
-the end that its sign favours, in each round those that lower the bound most, scores
-each vector when it is first seen, and stops when no unseen vector can reach its k-th
-score: the sum of its weights times the values at the lists' present depths is
-smaller. The best k of each shard are merged by query.
+once. In a shard every dimension has a sorted list. A block's queries go down all lists
+together from both ends, so that one product of matrices scores each vector when it is
+first seen, and a query stops when no unseen vector can reach its k-th score: the sum
+over the lists of its weight times the better of the values at their present depths is
+smaller. Queries whose scores need long integers go down alone, from the end that their
+signs favour, in each round the lists that lower the bound most. The best k of each
+shard are merged by query.
 
 Components become floor(scale * x) in double precision, scores are exact integers; one
 that a long does not hold, or a component beyond 2^62, is an error. Vectors that are
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 SHARD, SHARD_BYTES, BLOCK = 1 << 16, 32 << 20, 256
 FIRST_DEPTH, GROWTH, TOGETHER = 32, 1.5, 8  # places that a list goes down at first, how that grows, and of how many lists one goes on
+SCORED, TOGETHER_GROWTH = 1 << 13, 2.0  # vectors that a block scores at a time, and how the depth of a block grows
 MOST = 2.0**62
 
 
@@ -54,11 +57,13 @@ def _quantised(df: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFram
 
 
 def _packed(rows: DataFrame, part: str) -> DataFrame:
-    """One row (dim, part, ids, vs) for each part of each dimension."""
+    """One row (dim, part, ids, vs) for each part of each dimension; components take as few bytes as all of the part's fit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], part: [pdf[part].iloc[0]], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "vs": [b"".join(pdf["v"])]})
+        vs = np.frombuffer(b"".join(pdf["v"]), "<i8")
+        kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= vs.min() and vs.max() <= np.iinfo(t).max)
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], part: [pdf[part].iloc[0]], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "vs": [vs.astype(kind).tobytes()]})
 
     return rows.groupBy("dim", part).applyInPandas(run, f"dim int, {part} long, ids binary, vs binary")
 
@@ -128,6 +133,55 @@ class SortedLists:
         return self.ids[kept[best]], scores[best].astype(np.int64)
 
 
+    def tops(self, own_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``top`` of each query of a block, whose queries go down all lists together, from both ends:
+        what a round finds is scored by one product of matrices, for the queries that have not stopped."""
+        v = self.typed(queries[np.argmax(np.abs(queries).max(axis=1))]) if len(queries) and queries.shape[1] else self.v
+        if v.dtype.kind != "f" or not len(self.ids):
+            return [self.top(int(key), q, k) for key, q in zip(own_ids, queries, strict=True)]
+        n, m = len(self.ids), len(queries)
+        q = queries.astype(v.dtype)
+        kept: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * m
+        scores: list[np.ndarray] = [np.zeros(0, dtype=v.dtype)] * m
+        least = np.full(m, -np.inf, dtype=v.dtype)
+        live, seen, dims = np.arange(m), np.zeros(n, dtype=bool), np.arange(v.shape[1])
+        before, depth = 0, min(FIRST_DEPTH, n)
+        while True:
+            fresh = np.zeros(n, dtype=bool)
+            fresh[self.order[:, before:depth]] = True
+            fresh[self.order[:, n - depth : n - before]] = True
+            new = np.flatnonzero(fresh & ~seen)
+            seen[new] = True
+            self.examined += len(new)
+            for a in range(0, len(new), SCORED):
+                some = new[a : a + SCORED]
+                found = q[live] @ v[some].T
+                own = np.flatnonzero(np.isin(self.ids[some], own_ids[live]))
+                found[:, own] = np.where(own_ids[live][:, None] == self.ids[some[own]][None, :], -np.inf, found[:, own])
+                floor = least[live]
+                if len(some) > k:
+                    unset = np.flatnonzero(np.isneginf(floor))
+                    floor[unset] = np.partition(found[unset], len(some) - k, axis=1)[:, len(some) - k]
+                row, col = np.nonzero((found >= floor[:, None]) & (found > -np.inf))
+                cuts = np.searchsorted(row, np.arange(len(live) + 1))
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    x, at = live[r], col[cuts[r] : cuts[r + 1]]
+                    kept[x], scores[x] = np.concatenate([kept[x], some[at]]), np.concatenate([scores[x], found[r, at]])
+                    if len(scores[x]) >= k:
+                        least[x] = np.partition(scores[x], len(scores[x]) - k)[len(scores[x]) - k]
+                        stay = scores[x] >= least[x]
+                        kept[x], scores[x] = kept[x][stay], scores[x][stay]
+            if 2 * depth >= n or seen.all():
+                break
+            low, high = v[self.order[:, depth], dims], v[self.order[:, n - 1 - depth], dims]  # between these is what no list has shown
+            live = live[np.maximum(q[live] * low, q[live] * high).sum(axis=1) >= least[live]]
+            if not len(live):
+                break
+            before, depth = depth, min(n, int(depth * TOGETHER_GROWTH))
+        best = [np.lexsort((self.ids[at], -x))[:k] for at, x in zip(kept, scores, strict=True)]
+        return [(self.ids[at[b]], x[b].astype(np.int64)) for at, x, b in zip(kept, scores, best, strict=True)]
+
+
 def top_k(df: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score); queries are the ids divisible by ``every``."""
     vectors = _quantised(df, scale, id_col, vec_col)
@@ -145,13 +199,14 @@ def top_k(df: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col:
         for batch in batches:
             for i in range(batch.num_rows):
                 dim, no_shard, no_block, ids, vs = (batch.column(c)[i].as_py() for c in range(5))
-                ids, vs = np.frombuffer(ids, "<i8"), np.frombuffer(vs, "<i8").reshape(-1, dim)
+                ids = np.frombuffer(ids, "<i8")
+                vs = np.frombuffer(vs, f"<i{len(vs) // (len(ids) * dim)}").astype("<i8").reshape(-1, dim)
                 if no_block < 0:  # the shard itself comes first
                     held = ((dim, no_shard), SortedLists(ids, vs))
                     continue
                 if not held or held[0] != (dim, no_shard):
                     continue  # no candidate here
-                found = [held[1].top(int(key), q, k) for key, q in zip(ids, vs, strict=True)]
+                found = held[1].tops(ids, vs, k)
                 no = np.repeat(np.arange(len(ids)), [len(f[0]) for f in found])
                 cols = [np.full(len(no), dim, dtype=np.int32), np.full(len(no), no_block, dtype=np.int64), no, ids[no], np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["dim", "block", "no", "query_id", "vec_id", "score"])
