@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from codeloom.functions import text, vectors
-from codeloom.operators import evaluation, parsing, retrieval
+from codeloom.operators import evaluation, graph, parsing, retrieval
 
 
 def test_prompt_lines_lose_blanks_not_digits(spark):
@@ -76,3 +76,28 @@ def test_no_step_of_the_metrics_moves_rows_by_cut_off(spark):
     m = evaluation.metrics_at_k(p, g, [1, 3, 5])
     assert not re.search(r"hashpartitioning\(issue#\d+L?, k#", m._jdf.queryExecution().executedPlan().toString())
     assert {(r["issue"], r["k"], r["tp"], r["hit"], r["precision_raw"]) for r in m.collect()} == {(1, 1, 1, 1, 1.0), (1, 3, 1, 1, 0.5), (1, 5, 1, 1, 0.5), (2, 1, 0, 0, 0.0), (2, 3, 0, 0, 0.0), (2, 5, 0, 0, 0.0), (3, 1, 0, 0, 0.0), (3, 3, 0, 0, 0.0), (3, 5, 1, 1, 1.0)}
+
+
+def test_call_edges_are_the_join_by_name(spark, monkeypatch):
+    rows = [("r" if i % 3 else "s", None if i % 17 == 0 else str(i % 40), "hot" if i % 2 else f"f{i % 7}") for i in range(300)] + [(None, "1", "hot"), ("r", "1", None), ("t", "1", "hot"), ("r", "2", "none")]
+    calls = spark.createDataFrame(rows, "repo string, caller string, callee string").repartition(3)
+    fns = [("r" if i % 4 else "s", None if i == 9 else i % 50, "hot" if i % 3 else f"f{i % 7}") for i in range(60)] + [(None, 1, "hot"), ("r", 2, None), ("r", 3, "not called")]
+    functions = spark.createDataFrame(fns, "repo string, id int, name string")
+    plain = lambda c: c.join(functions.withColumnRenamed("name", "callee"), ["repo", "callee"]).select("repo", F.col("caller").alias("src"), F.col("id").alias("dst"), F.lit("CALLS").alias("rel"))
+    for sizes in ((16, 1024, 256), (1, 2, 3), (3, 5, 1)):
+        for name, value in zip(("SHARES", "CALLERS", "FUNCTIONS"), sizes, strict=True):
+            monkeypatch.setattr(graph, name, value, raising=False)
+        for once in (False, True):
+            got, want = graph.call_edges(calls, functions, once), plain(calls.distinct() if once else calls)
+            assert got.schema.simpleString() == want.schema.simpleString()
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert graph.call_edges(calls.filter("false"), functions).count() == 0 and graph.call_edges(calls, functions.filter("false"), True).count() == 0
+
+
+def test_edges_take_little_room(spark, tmp_path):
+    names = 16
+    calls = spark.range(30000).select(F.lit("r").alias("repo"), F.xxhash64("id").alias("caller"), F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(names)).cast("string")).alias("callee"))
+    functions = spark.range(names * 250).select(F.lit("r").alias("repo"), F.xxhash64("id").alias("id"), F.concat(F.lit("f"), (F.col("id") % names).cast("string")).alias("name"))
+    graph.call_edges(calls, functions).select("src", "dst").write.parquet(str(tmp_path / "edges"))
+    size = sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "edges")).count() == 30000 * 250 and size < 0.4 * 30000 * 250
