@@ -192,7 +192,9 @@ def parse_files(files: DataFrame) -> DataFrame:
                 rows.append((repo, path, language, *found, error))
             yield pd.DataFrame(rows, columns=["repo", "path", "language", "functions", "classes", "imports", "calls", "error"])
 
-    return files.select("repo", "path", "language", "content").mapInPandas(run, SCHEMA)
+    # By the plan a file's results are as small as its row in the table it came from, so Spark would send
+    # what is made of them through the driver in broadcasts. The hint holds up to the next join.
+    return files.select("repo", "path", "language", "content").mapInPandas(run, SCHEMA).hint("merge")
 
 
 def entities(parsed: DataFrame) -> DataFrame:
