@@ -76,7 +76,8 @@ def index_repository(files: DataFrame, settings: Settings | None = None, embed:
     functions = found.filter(F.col("entity_type") == "function")
     modules = graph.module_edges(graph.import_paths(parsed), found.filter(F.col("entity_type") == "file"))
     edges = graph.contains_edges(found).unionByName(graph.call_edges(parsing.call_pairs(parsed), functions).distinct()).unionByName(modules)
-    return found.dropDuplicates(["repo", "id"]).join(vectors, "id", "left"), edges
+    # As in parse_files: neither is as small as the plan says.
+    return found.dropDuplicates(["repo", "id"]).join(vectors, "id", "left").hint("merge"), edges.hint("merge")
 
 
 def localise(issues: DataFrame, entities: DataFrame, edges: DataFrame, settings: Settings | None = None, select: Callable[[DataFrame], DataFrame] = retrieval.default_selection, embed: Callable[[Column, int], Column] = hashed_embedding) -> DataFrame:
@@ -94,7 +95,7 @@ def localise(issues: DataFrame, entities: DataFrame, edges: DataFrame, settings:
     parents = graph.ancestors(edges).join(nodes.select(F.col("id").alias("ancestor"), F.lower("label").alias("entity_type"), "name", "file_path"), "ancestor")
     full = retrieval.with_parents(kept, parents.select(F.col("id").alias("child"), F.col("ancestor").alias("id"), "entity_type", "name", "file_path"))
     chosen = select(retrieval.capped_by_type(full, settings.per_type).drop("type_rank"))
-    around = graph.neighbour_names(edges, nodes).select("id", "callers", "callees")
+    around = graph.neighbour_names(edges, nodes).select("id", "callers", "callees").hint("merge")  # lists of names are longer than the plan says
     return retrieval.final_ranking(full, chosen).join(around, "id", "left")
 
 
